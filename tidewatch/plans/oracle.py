@@ -198,3 +198,68 @@ cte("clean", ["feat", "lagmed"], """
                          coalesce(water_area_change_lag1, m2) AS water_area_change_lag1,
                          coalesce(water_area_pct_change_lag1, m3) AS water_area_pct_change_lag1)
   FROM feat CROSS JOIN lagmed""")
+
+# --- model frame and baselines (J1, C2) ----------------------------------------------------
+
+BASE_COLS = ["precipitation", "precip_3day_avg", "precip_7day_avg", "soil_moisture", "soil_3day_avg",
+             "water_area_km2_lag1", "water_area_change_lag1", "water_area_pct_change_lag1", "temperature",
+             "humidity", "pressure", "evaporation", "month", "day_of_year", "is_monsoon", "rain_soil_interaction",
+             "monsoon_cumulative_precip", "avg_elevation_m", "year"]
+MONTH_BASE_COLS = [c for c in BASE_COLS if c != "month"]
+
+cte("model", ["clean", "terrain_dim"], """
+  SELECT clean.*, t.avg_elevation_m, t.terrain_type FROM clean LEFT JOIN terrain_dim t USING (district)""")
+
+cte("mbase", ["model"], "SELECT district, month, " + ", ".join(
+    f"median(CAST({c} AS DOUBLE)) AS {c}" for c in MONTH_BASE_COLS) +
+    " FROM model WHERE district IS NOT NULL AND month IS NOT NULL GROUP BY district, month")
+
+cte("dbase", ["model"], "SELECT " + ", ".join(f"median(CAST({c} AS DOUBLE)) AS {c}" for c in BASE_COLS) + " FROM model")
+
+cte("tlookup", ["model", "terrain_dim"], """
+  SELECT district, terrain_type, CAST(avg_elevation_m AS DOUBLE) AS avg_elevation_m FROM (
+    SELECT district, terrain_type, avg_elevation_m,
+           row_number() OVER (PARTITION BY district ORDER BY date, reading_id) AS rn
+    FROM model WHERE district IS NOT NULL) WHERE rn = 1
+  UNION ALL
+  SELECT district, terrain_type, CAST(avg_elevation_m AS DOUBLE) FROM terrain_dim
+  WHERE district IS NOT NULL AND district NOT IN (SELECT district FROM model WHERE district IS NOT NULL)""")
+
+cte("allowed", ["model", "terrain_dim"], """
+  SELECT DISTINCT district FROM (SELECT district FROM model UNION ALL SELECT district FROM terrain_dim)
+  WHERE district IS NOT NULL""")
+
+cte("popn", ["impact_raw"], """
+  SELECT region, CAST(arg_max(affected_population, row_seq) AS BIGINT) AS affected_population
+  FROM impact_raw WHERE affected_population IS NOT NULL AND region IS NOT NULL GROUP BY region""")
+
+# --- neighbours (A5, J6, J7) ----------------------------------------------------------------
+
+cte("cent", ["raw"], """
+  SELECT district AS key, avg(latitude) AS lat, avg(longitude) AS lon FROM raw
+  WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND district IS NOT NULL GROUP BY district""")
+
+cte("knn", ["cent"], """
+  SELECT * FROM (
+    SELECT a.key AS target, b.key AS neighbour,
+           sqrt((b.lat - a.lat) * (b.lat - a.lat) + (b.lon - a.lon) * (b.lon - a.lon)) AS dist,
+           row_number() OVER (PARTITION BY a.key ORDER BY
+             sqrt((b.lat - a.lat) * (b.lat - a.lat) + (b.lon - a.lon) * (b.lon - a.lon)), b.key) AS rank
+    FROM cent a JOIN cent b ON a.key <> b.key) WHERE rank <= 2""")
+
+cte("rawp", ["raw"], f"""
+  SELECT reading_id, district, CAST(try_strptime(date, '%m/%d/%Y') AS DATE) AS d, {_num('precipitation')} AS p,
+         {_num('precip_3day_avg')} AS p3, {_num('precip_7day_avg')} AS p7
+  FROM raw""")
+
+cte("tdate", ["rawp"], """
+  SELECT district AS target, max(d) AS target_date FROM rawp WHERE d IS NOT NULL GROUP BY district""")
+
+cte("donorval", ["knn", "tdate", "rawp"], """
+  SELECT target, donor, p AS precipitation, gap AS date_gap FROM (
+    SELECT knn.target, knn.neighbour AS donor, rawp.p, abs(date_diff('day', tdate.target_date, rawp.d)) AS gap,
+           row_number() OVER (PARTITION BY knn.target, knn.neighbour ORDER BY abs(date_diff('day', tdate.target_date, rawp.d)),
+             CASE WHEN rawp.d = tdate.target_date THEN -rawp.reading_id ELSE rawp.reading_id END) AS rn
+    FROM knn JOIN tdate ON knn.target = tdate.target
+         JOIN rawp ON rawp.district = knn.neighbour
+    WHERE rawp.p IS NOT NULL AND rawp.d IS NOT NULL) WHERE rn = 1""")
