@@ -20,7 +20,8 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            from tidewatch.plans.oracle import spark_rounding
+            ORACLE[name] = spark_rounding(sql)
         return fn
     return deco
 

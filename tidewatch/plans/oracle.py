@@ -36,6 +36,41 @@ def r6(expr: str, alias: str) -> str:
     return f"round({expr}, 6) AS {alias}"
 
 
+def spark_rounding(sql: str) -> str:
+    """Rewrite every ``round(x, n)`` / ``round_even(x, n)`` to round the decimal form of x.
+
+    Spark rounds a DOUBLE through its shortest decimal text; DuckDB's plain
+    ``round`` scales in binary and can land on the other side of a tie.  Going
+    through the text and DECIMAL makes both engines agree.
+    """
+    out, i = [], 0
+    while True:
+        j = min([k for k in (sql.find("round(", i), sql.find("round_even(", i)) if k >= 0], default=-1)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 1])
+            i = j + 1
+            continue
+        name = "round_even" if sql.startswith("round_even(", j) else "round"
+        start = j + len(name) + 1
+        depth, k, comma = 1, start, -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        arg, places = sql[start:comma], sql[comma + 1:k - 1]
+        out.append(sql[i:j])
+        out.append(f"CAST({name}(CAST(CAST({spark_rounding(arg)} AS VARCHAR) AS DECIMAL(38, 18)), {places.strip()}) AS DOUBLE)")
+        i = k
+
+
 # --- fixture: readings from events (FIXTURES.md section B) ---------------------------
 
 cte("ev", [], """
@@ -263,3 +298,139 @@ cte("donorval", ["knn", "tdate", "rawp"], """
     FROM knn JOIN tdate ON knn.target = tdate.target
          JOIN rawp ON rawp.district = knn.neighbour
     WHERE rawp.p IS NOT NULL AND rawp.d IS NOT NULL) WHERE rn = 1""")
+
+# --- scoring (F1-F7, J9, C5, C6, C7) ------------------------------------------------------------
+
+from tidewatch.functions import fixed as _fx  # noqa: E402
+
+
+def _q(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    return repr(v)
+
+
+def case_map(expr: str, mapping: dict, default: str = "NULL") -> str:
+    return f"CASE {expr} " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in mapping.items()) + f" ELSE {default} END"
+
+
+def band_sql(p: str, closed: bool = True) -> str:
+    if closed:
+        return (f"CASE WHEN {p} < 0.25 THEN 'Low' WHEN {p} <= 0.5 THEN 'Medium' WHEN {p} <= 0.75 THEN 'High' "
+                f"ELSE 'Critical' END")
+    return f"CASE WHEN {p} < 0.25 THEN 'Low' WHEN {p} < 0.5 THEN 'Medium' WHEN {p} < 0.75 THEN 'High' ELSE 'Critical' END"
+
+
+def rank_sql(level: str) -> str:
+    return case_map(level, _fx.RISK_ORDER)
+
+
+def guard_sql(level: str, rain: str, soil: str, water: str) -> str:
+    forced = (f"(CASE WHEN {rain} >= 450 AND {soil} = 'Saturated' AND {water} = 'Yes' THEN 'Critical' "
+              f"WHEN {rain} >= 350 AND ({soil} = 'Saturated' OR {water} = 'Yes') THEN 'High' "
+              f"WHEN {rain} >= 300 AND {soil} IN ('Moist', 'Saturated') AND {water} = 'Yes' THEN 'High' "
+              f"ELSE {level} END)")
+    return f"(CASE WHEN coalesce({rank_sql(forced)} > {rank_sql(level)}, false) THEN {forced} ELSE {level} END)"
+
+
+def people_sql(level: str, conf: str, pop: str, divisor: str, ef: str, ms: str) -> str:
+    base = f"({pop} / greatest(coalesce({divisor}, 1), 1))"
+    sev = case_map(level, _fx.SEVERITY_RATE)
+    cap = case_map(level, _fx.MAX_CAP_RATE)
+    mn = case_map(level, _fx.MINIMUM_PEOPLE)
+    raw = f"({base} * {sev} * (0.6 + 0.4 * ({conf} / 100.0)) * coalesce({ef}, 0.75))"
+    capv = f"({base} * least({cap}, coalesce({ms}, 0.06)))"
+    return (f"CAST(CASE WHEN {pop} IS NULL THEN 0 ELSE round_even(greatest(CAST({mn} AS DOUBLE), least({raw}, {capv})), -2) END "
+            f"AS BIGINT)")
+
+
+cte("rep_valid", ["reports", "allowed"], """
+  SELECT r.*, coalesce(r.rainfall_mm IS NOT NULL AND r.selected_date IS NOT NULL AND r.district <> ''
+           AND r.soil_condition <> '' AND r.visible_water <> '' AND r.rainfall_mm >= 0 AND r.rainfall_mm <= 500
+           AND a.district IS NOT NULL AND r.soil_condition IN ('Dry', 'Moist', 'Saturated')
+           AND r.visible_water IN ('Yes', 'No'), false) AS ok
+  FROM reports r LEFT JOIN allowed a ON r.district = a.district""")
+
+
+def feature_sql(src: str) -> str:
+    """Feature row of F7 for a table of reports ``src`` (district, rainfall_mm, selected_date, ...)."""
+    b = lambda c: f"CASE WHEN m.district IS NOT NULL THEN m.{c} ELSE d.{c} END"
+    soil = case_map("s.soil_condition", _fx.SOIL_CONDITION_TO_VALUE)
+    return f"""
+  SELECT s.*, month(s.selected_date) AS month, dayofyear(s.selected_date) AS day_of_year,
+         CASE WHEN month(s.selected_date) IN (7, 8, 9) THEN 1 ELSE 0 END AS is_monsoon,
+         CASE WHEN t.district IS NOT NULL THEN t.terrain_type ELSE 'Unknown' END AS terrain_type,
+         CASE WHEN t.district IS NOT NULL THEN t.avg_elevation_m ELSE {b('avg_elevation_m')} END AS avg_elevation_m,
+         s.rainfall_mm AS precipitation,
+         0.5 * s.rainfall_mm + 0.5 * {b('precip_3day_avg')} AS precip_3day_avg,
+         0.3 * s.rainfall_mm + 0.7 * {b('precip_7day_avg')} AS precip_7day_avg,
+         {soil} AS soil_moisture,
+         0.6 * {b('soil_3day_avg')} + 0.4 * {soil} AS soil_3day_avg,
+         CASE WHEN s.visible_water = 'Yes' THEN CAST(5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS water_area_km2,
+         CASE WHEN s.visible_water = 'Yes' THEN CAST(2.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS water_area_change,
+         CASE WHEN s.visible_water = 'Yes' THEN CAST(2.5 AS DOUBLE) / 2.5 ELSE CAST(0 AS DOUBLE) / 0.001 END
+           AS water_area_pct_change,
+         s.rainfall_mm * {soil} AS rain_soil_interaction,
+         CASE WHEN month(s.selected_date) IN (7, 8, 9) THEN {b('monsoon_cumulative_precip')} + s.rainfall_mm
+              ELSE 0.0 END AS monsoon_cumulative_precip,
+         {b('temperature')} AS temperature, {b('humidity')} AS humidity,
+         {b('pressure')} AS pressure, {b('evaporation')} AS evaporation
+  FROM {src} s LEFT JOIN mbase m ON s.district = m.district AND month(s.selected_date) = m.month
+  CROSS JOIN dbase d LEFT JOIN tlookup t ON s.district = t.district"""
+
+
+def scored_sql(src: str) -> str:
+    """C5 over a validated, featurised table ``src`` (needs ok, rainfall_mm, soil_condition, visible_water)."""
+    p = "least(1.0, (rain_soil_interaction + coalesce(precip_7day_avg, 0)) / 300.0)"
+    return f"""
+  SELECT x.*, {guard_sql('base_level', 'rainfall_mm', 'soil_condition', 'visible_water')} AS final_level FROM (
+    SELECT f.*, {p} AS flood_probability, {band_sql(p)} AS base_level,
+           greatest({p}, 1 - {p}) * 100 AS conf, round_even(greatest({p}, 1 - {p}) * 100, 1) AS conf_r,
+           pp.affected_population AS pop, v.divisor, pf.exposure_factor AS ef, pf.max_exposed_share AS ms
+    FROM {src} f LEFT JOIN district_region dr ON f.district = dr.district
+    LEFT JOIN popn pp ON dr.region = pp.region LEFT JOIN region_divisor v ON dr.region = v.region
+    LEFT JOIN risk_profile pf ON f.district = pf.district) x"""
+
+
+cte("rep_feat", ["rep_valid", "mbase", "dbase", "tlookup"], feature_sql("rep_valid"))
+cte("rep_scored", ["rep_feat", "district_region", "popn", "region_divisor", "risk_profile"], scored_sql("rep_feat"))
+
+ADVISORY_SQL = {
+    "risk_level_ur": _fx.RISK_LABELS_UR,
+    "recommended_action_en": {k: v["en"] for k, v in _fx.RISK_ACTIONS.items()},
+    "recommended_action_ur": {k: v["ur"] for k, v in _fx.RISK_ACTIONS.items()},
+    "risk_color": _fx.RISK_COLORS,
+}
+
+
+def result_sql(src: str) -> str:
+    people = (f"CASE WHEN final_level = base_level THEN {people_sql('base_level', 'conf', 'pop', 'divisor', 'ef', 'ms')} "
+              f"ELSE {people_sql('final_level', 'conf_r', 'pop', 'divisor', 'ef', 'ms')} END")
+    adv = ", ".join(f"CASE WHEN ok THEN {case_map('final_level', m)} END AS {k}" for k, m in ADVISORY_SQL.items())
+    return f"""
+  SELECT *, CASE WHEN ok THEN final_level END AS risk_level_en, {adv},
+         CASE WHEN ok THEN conf_r END AS confidence_pct, CASE WHEN ok THEN {people} END AS population_risk_estimate,
+         CASE WHEN ok THEN '' ELSE {_q(_fx.INSUFFICIENT_DATA_MESSAGE)} END AS message
+  FROM {src}"""
+
+
+cte("rep_result", ["rep_scored"], result_sql("rep_scored"))
+
+cte("fan", ["reports", "allowed"], """
+  SELECT r.report_id, a.district, r.rainfall_mm, r.selected_date, r.soil_condition, r.visible_water
+  FROM reports r JOIN allowed a ON a.district IS DISTINCT FROM r.district""")
+cte("fan_valid", ["fan", "allowed"], """
+  SELECT r.*, coalesce(r.rainfall_mm IS NOT NULL AND r.selected_date IS NOT NULL AND r.district <> ''
+           AND r.soil_condition <> '' AND r.visible_water <> '' AND r.rainfall_mm >= 0 AND r.rainfall_mm <= 500
+           AND a.district IS NOT NULL AND r.soil_condition IN ('Dry', 'Moist', 'Saturated')
+           AND r.visible_water IN ('Yes', 'No'), false) AS ok
+  FROM fan r LEFT JOIN allowed a ON r.district = a.district""")
+cte("fan_feat", ["fan_valid", "mbase", "dbase", "tlookup"], feature_sql("fan_valid"))
+cte("fan_scored", ["fan_feat", "district_region", "popn", "region_divisor", "risk_profile"], scored_sql("fan_feat"))
+cte("fan_result", ["fan_scored"], result_sql("fan_scored"))
+cte("fan_alerts", ["fan_result"], """
+  SELECT report_id, district, risk_level_en, trim(risk_level_ur) AS risk_level_ur,
+         trim(recommended_action_en) AS recommended_action_en, trim(recommended_action_ur) AS recommended_action_ur
+  FROM fan_result WHERE ok AND risk_level_en IN ('High', 'Critical')""")
