@@ -67,7 +67,9 @@ def spark_rounding(sql: str) -> str:
             k += 1
         arg, places = sql[start:comma], sql[comma + 1:k - 1]
         out.append(sql[i:j])
-        out.append(f"CAST({name}(CAST(CAST({spark_rounding(arg)} AS VARCHAR) AS DECIMAL(38, 18)), {places.strip()}) AS DOUBLE)")
+        v = spark_rounding(arg)
+        out.append(f"CAST(CASE WHEN isfinite({v}) THEN {name}(CAST(CAST({v} AS VARCHAR) AS DECIMAL(38, 18)), "
+                   f"{places.strip()}) ELSE {v} END AS DOUBLE)")
         i = k
 
 
@@ -434,3 +436,95 @@ cte("fan_alerts", ["fan_result"], """
   SELECT report_id, district, risk_level_en, trim(risk_level_ur) AS risk_level_ur,
          trim(recommended_action_en) AS recommended_action_en, trim(recommended_action_ur) AS recommended_action_ur
   FROM fan_result WHERE ok AND risk_level_en IN ('High', 'Critical')""")
+
+# --- scenarios (C3, C4) -------------------------------------------------------------------------
+
+SURGE_DISTRICTS = ["AFRICA", "ASIA"]
+FAULTY_DISTRICT = "ASIA"
+
+
+def mdy_sql(d: str) -> str:
+    return f"concat(CAST(month({d}) AS VARCHAR), '/', CAST(day({d}) AS VARCHAR), '/', CAST(year({d}) AS VARCHAR))"
+
+
+cte("s_rawq", ["raw"], f"""
+  SELECT raw.*, CAST(try_strptime(date, '%m/%d/%Y') AS DATE) AS pd, {_num('precipitation')} AS pn FROM raw""")
+cte("s_last", ["s_rawq"], "SELECT coalesce(max(pd), DATE '2024-12-31') AS g FROM s_rawq")
+cte("s_imp", [], "SELECT * FROM (VALUES " + ", ".join(f"('{d}', {i})" for i, d in enumerate(SURGE_DISTRICTS))
+    + ") t(district, pos)")
+cte("s_valid", ["s_rawq", "s_imp"], "SELECT s_rawq.*, s_imp.pos FROM s_rawq JOIN s_imp USING (district) WHERE pd IS NOT NULL")
+cte("s_src", ["s_valid"], """
+  SELECT * EXCLUDE (rn) FROM (SELECT s_valid.*, row_number() OVER (PARTITION BY district ORDER BY (pn IS NULL),
+      -coalesce(pn, 0), CASE WHEN pn IS NOT NULL THEN pd END, CASE WHEN pn IS NOT NULL THEN reading_id END,
+      pd DESC, reading_id DESC) AS rn FROM s_valid) WHERE rn = 1""")
+cte("s_fb", ["s_valid"], f"""
+  SELECT district, p7n AS fb7 FROM (SELECT district, {_num('precip_7day_avg')} AS p7n,
+      row_number() OVER (PARTITION BY district ORDER BY pd DESC, reading_id DESC) AS rn
+    FROM s_valid WHERE {_num('precip_7day_avg')} IS NOT NULL) WHERE rn = 1""")
+cte("s_rows", ["s_src", "s_fb", "s_last"], """
+  SELECT x.*, least(500.0, orig * 4.0) AS newp, g + CAST(off AS INTEGER) AS sdate FROM (
+    SELECT s.*, CASE WHEN s.pn > 0 THEN s.pn ELSE coalesce(fb.fb7, 50.0) END AS orig,
+           row_number() OVER (ORDER BY pos) AS off
+    FROM s_src s LEFT JOIN s_fb fb USING (district)) x CROSS JOIN s_last""")
+
+_SURGE_OUT = ["reading_id", "district", "date", "precipitation", "precip_3day_avg", "precip_7day_avg",
+              "soil_moisture", "soil_3day_avg", "water_area_km2", "water_area_change", "water_area_pct_change",
+              "flood_event"]
+
+cte("s_aug", ["raw", "s_rows"], f"""
+  SELECT reading_id, district, date, {_num('precipitation')} AS precipitation, precip_3day_avg, precip_7day_avg,
+         soil_moisture, soil_3day_avg, water_area_km2, water_area_change, water_area_pct_change, flood_event FROM raw
+  UNION ALL
+  SELECT reading_id, district, {mdy_sql('sdate')}, newp,
+         least(500.0, precip_3day_avg * 0.35 + newp * 0.65), least(500.0, precip_7day_avg * 0.55 + newp * 0.45),
+         least(1.0, soil_moisture + 0.12), least(1.0, soil_3day_avg + 0.08),
+         greatest(0.0, water_area_km2 * 1.45), greatest(1.0, water_area_change + 3.5),
+         greatest(1.0, water_area_change + 3.5) / greatest(greatest(0.0, water_area_km2 * 1.45)
+           - greatest(1.0, water_area_change + 3.5), 0.001),
+         1
+  FROM s_rows""")
+
+cte("c4_target", ["rawp"], f"""
+  SELECT d AS tdate, reading_id AS tseq, p AS tprec FROM rawp WHERE district = '{FAULTY_DISTRICT}' AND d IS NOT NULL
+  ORDER BY d DESC, reading_id DESC LIMIT 1""")
+cte("c4_donors", ["donorval", "knn"], f"""
+  SELECT k.rank, k.neighbour AS donor, v.precipitation AS value FROM knn k
+  LEFT JOIN donorval v ON v.target = k.target AND v.donor = k.neighbour WHERE k.target = '{FAULTY_DISTRICT}'""")
+cte("c4_fallback", ["rawp"], "SELECT coalesce(median(p), 0.0) AS fb FROM rawp")
+cte("c4_audit", ["c4_target", "c4_donors", "c4_fallback"], f"""
+  SELECT '{FAULTY_DISTRICT}' AS faulty_district, {mdy_sql('tdate')} AS faulty_date, tprec AS original_precipitation,
+         (coalesce(v1, v2, fb) + CASE WHEN v1 IS NOT NULL THEN coalesce(v2, fb) ELSE fb END) / 2 AS imputed, d1, d2,
+         coalesce(v1, v2, fb) AS val1, CASE WHEN v1 IS NOT NULL THEN coalesce(v2, fb) ELSE fb END AS val2
+  FROM c4_target, c4_fallback, (
+    SELECT max(donor) FILTER (WHERE rank = 1) AS d1, max(donor) FILTER (WHERE rank = 2) AS d2,
+           max(value) FILTER (WHERE rank = 1) AS v1, max(value) FILTER (WHERE rank = 2) AS v2
+    FROM c4_donors)""")
+cte("c4_updated", ["raw", "c4_target", "c4_audit"], f"""
+  SELECT reading_id, district, date,
+         CASE WHEN pick THEN imputed ELSE p END AS precipitation,
+         CASE WHEN pick THEN coalesce(0.6 * imputed + 0.4 * p3, imputed) ELSE p3 END AS precip_3day_avg,
+         CASE WHEN pick THEN coalesce(0.35 * imputed + 0.65 * p7, imputed) ELSE p7 END AS precip_7day_avg
+  FROM (
+    SELECT r.reading_id, r.district, r.date, {_num('r.precipitation')} AS p, {_num('r.precip_3day_avg')} AS p3,
+           {_num('r.precip_7day_avg')} AS p7, a.imputed,
+           coalesce(r.district = '{FAULTY_DISTRICT}' AND CAST(try_strptime(r.date, '%m/%d/%Y') AS DATE) = t.tdate
+             AND r.reading_id = t.tseq, false)
+           AND row_number() OVER (PARTITION BY r.reading_id, r.district, r.date ORDER BY r.reading_id) = 1 AS pick
+    FROM raw r CROSS JOIN c4_target t CROSS JOIN c4_audit a)""")
+
+# --- splits (W7-W10) ----------------------------------------------------------------------------
+
+cte("sp_rank", ["clean"], """
+  SELECT reading_id, flood_event, year, date, row_number() OVER (ORDER BY date, reading_id) - 1 AS pos,
+         count(*) OVER () AS n FROM clean""")
+cte("holdout_year", ["clean"], """
+  SELECT CASE WHEN count(*) FILTER (WHERE year = 2024) > 0 THEN 2024 ELSE max(year) END AS hy FROM clean""")
+cte("fold_rows", ["clean", "holdout_year"], """
+  SELECT reading_id, row_number() OVER (ORDER BY date, reading_id) - 1 AS pos, count(*) OVER () AS n
+  FROM clean, holdout_year WHERE year < hy""")
+cte("strat_counts", ["clean"], """
+  SELECT flood_event AS label, count(*) AS nc FROM clean GROUP BY flood_event""")
+cte("strat_alloc", ["strat_counts"], """
+  SELECT label, nc, nc * 1 // 5 + CASE WHEN fr <= rem THEN 1 ELSE 0 END AS tc FROM (
+    SELECT label, nc, row_number() OVER (ORDER BY -((nc * 1) % 5), label) AS fr,
+           (sum(nc) OVER () * 1 + 4) // 5 - sum(nc * 1 // 5) OVER () AS rem FROM strat_counts)""")
