@@ -528,3 +528,21 @@ cte("strat_alloc", ["strat_counts"], """
   SELECT label, nc, nc * 1 // 5 + CASE WHEN fr <= rem THEN 1 ELSE 0 END AS tc FROM (
     SELECT label, nc, row_number() OVER (ORDER BY -((nc * 1) % 5), label) AS fr,
            (sum(nc) OVER () * 1 + 4) // 5 - sum(nc * 1 // 5) OVER () AS rem FROM strat_counts)""")
+
+# --- per-key selections (W3-W6) ---------------------------------------------------------------
+
+cte("w_latest", ["clean"], """
+  SELECT station, reading_id, date FROM (SELECT station, reading_id, date,
+    row_number() OVER (PARTITION BY station ORDER BY date DESC, reading_id DESC) AS rn FROM clean) WHERE rn = 1""")
+cte("w_first", ["clean"], """
+  SELECT station, reading_id, date FROM (SELECT station, reading_id, date,
+    row_number() OVER (PARTITION BY station ORDER BY date, reading_id) AS rn FROM clean) WHERE rn = 1""")
+cte("w_top", ["clean"], """
+  SELECT station, reading_id, date, precipitation FROM (SELECT station, reading_id, date, precipitation,
+    row_number() OVER (PARTITION BY station ORDER BY (precipitation IS NULL), -coalesce(precipitation, 0),
+      CASE WHEN precipitation IS NOT NULL THEN date END, CASE WHEN precipitation IS NOT NULL THEN reading_id END,
+      date DESC, reading_id DESC) AS rn FROM clean) WHERE rn = 1""")
+cte("w_last", ["clean"], """
+  SELECT station, soil_moisture FROM (SELECT station, soil_moisture,
+    row_number() OVER (PARTITION BY station ORDER BY date DESC, reading_id DESC) AS rn
+    FROM clean WHERE soil_moisture IS NOT NULL) WHERE rn = 1""")
