@@ -27,10 +27,14 @@ def checked_dimension(dim: DataFrame, keys: list[str], unique: bool = True,
 
     Raises when ``unique`` and a key repeats (a many-to-one join is required).
     """
+    dim = dim.cache()  # the size check and the join share one computation
     n, k = dimension_profile(dim, keys)
     if unique and n != k:
         raise ValueError(f"dimension keys {keys} are not unique ({n} rows, {k} distinct keys)")
-    return F.broadcast(dim) if n <= max_broadcast_rows else dim
+    if n <= max_broadcast_rows:
+        return F.broadcast(dim)
+    dim.unpersist()
+    return dim
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "left",

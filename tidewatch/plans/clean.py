@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed, rules
 from tidewatch.operators import quality, quantiles, timeseries
+from tidewatch.session import cut_lineage
 
 
 @dataclass
@@ -26,6 +27,7 @@ class CleanOptions:
     bounds: dict = None
     winsor_column: str = "water_area_pct_change"
     quantile_method: str = "exact"
+    materialize: bool = True           # write intermediate tables instead of recomputing them
 
     def __post_init__(self):
         if self.bounds is None:
@@ -69,6 +71,9 @@ def clean_readings(df: DataFrame, opts: CleanOptions | None = None) -> DataFrame
     """The cleaned, feature-complete table (rows in no particular order)."""
     opts = opts or CleanOptions()
     out = timeseries.add_calendar(filtered(df, opts), opts.date_col)
+    if opts.materialize:
+        # the winsor bounds and the windows both read this table: compute it once
+        out = cut_lineage(out, "clean-kept")
     if opts.winsor_column in out.columns:
         out = quantiles.winsorize(out, opts.winsor_column, fixed.WINSOR_LOW, fixed.WINSOR_HIGH,
                                   opts.quantile_method)
@@ -80,6 +85,9 @@ def clean_readings(df: DataFrame, opts: CleanOptions | None = None) -> DataFrame
     out = timeseries.running_sum(out, "_monsoon_rain", [opts.entity, "year"], order, "monsoon_cumulative_precip")
     lag_sources = [c for c in fixed.LAG_COLUMNS if c in out.columns]
     out = timeseries.lag_columns(out, lag_sources, [opts.entity], order)
+    if opts.materialize:
+        # the lag medians and the fill both read the windowed table
+        out = cut_lineage(out, "clean-lagged")
     out = quantiles.fill_with_medians(out, [f"{c}_lag1" for c in lag_sources], opts.quantile_method)
     return out.drop("_monsoon_rain")
 

@@ -102,7 +102,9 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (rid % 4).cast("double").alias("ds_idx"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).alias("flood_event"),
     )
-    return f.unionByName(f.where(rid % 53 == 0))
+    # planted exact duplicates: every 53rd reading appears twice (a generator, one pass)
+    copies = F.explode(F.when(rid % 53 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return f.select("*", copies.alias("_copy")).drop("_copy")
 
 
 def terrain(spark: SparkSession, sf_dir: str, drop_last: bool = False) -> DataFrame:
