@@ -6,8 +6,9 @@ defined even where the source sort had ties.
 Per-key selections (latest / first / top row, last non-null value) are
 ``max_by`` / ``min_by`` aggregates: they combine map-side before the shuffle,
 so a key that holds a third of all rows still reduces to one row per task
-before anything moves.  Running sums and lags need the row order and use
-windows partitioned by the entity key (sorted, spill-capable).
+before anything moves.  Running sums and lags need the row order: the plain
+versions are windows partitioned by the entity key; ``ordered_scan`` computes
+both over range partitions, so a hot key is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -90,3 +91,59 @@ def last_value(df: DataFrame, keys: list[str], value: str, order_cols: list[str]
     ordered = F.struct(*[F.col(c) for c in order_cols])
     return df.where(F.col(value).isNotNull()).groupBy(*keys) \
         .agg(F.max_by(F.col(value), ordered).alias(out or value))
+
+
+# --- ordered scan over range partitions (hot keys) ---------------------------------------------
+
+def ordered_scan(df: DataFrame, keys: list[str], order_cols: list[str], lag_cols: list[str] = (),
+                 sums: list[tuple[str, list[str], str]] = (), suffix: str = "_lag1",
+                 partitions: int | None = None) -> DataFrame:
+    """W1 + W2 without a window over a whole key.
+
+    Rows are range-partitioned by (keys, order) -- the sampled bounds split a key
+    holding a third of the rows over many partitions -- and tagged with their
+    partition id, then written once (``cut_lineage``) so the tags are stable.
+    Windows run per (partition, key) slice; each slice's first row takes its
+    previous row from the last row of the key in an earlier partition, and
+    running sums add the totals of earlier partitions.  Both carries come from
+    small per-partition aggregates.
+
+    ``sums``: (value column, extra partition columns, output column), e.g.
+    ("rain", ["year"], "cumulative_rain") for a running sum per (key, year).
+    Rows with a null key get null lags and sums (group operations skip null keys).
+    """
+    from tidewatch.operators import joins
+    from tidewatch.session import cut_lineage
+
+    spark = df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n_parts, *keys, *order_cols).withColumn("_pid", F.spark_partition_id())
+    ranged = cut_lineage(ranged, "ordered-scan")
+    slice_w = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
+    out = ranged.withColumn("_rn", F.row_number().over(slice_w))
+    out = out.withColumns({f"_local_{c}": F.lag(c, 1).over(slice_w) for c in lag_cols})
+    for value, extra, name in sums:
+        w = Window.partitionBy("_pid", *keys, *extra).orderBy(*order_cols) \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn(f"_local_{name}", F.sum(value).over(w))
+    if lag_cols:
+        last = ranged.groupBy("_pid", *keys).agg(
+            F.max_by(F.struct(*[F.col(c) for c in lag_cols]), F.struct(*[F.col(c) for c in order_cols]))
+            .alias("_last"))
+        carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_pid"))) \
+            .drop("_last")
+        out = out.join(joins.checked_dimension(carry, ["_pid", *keys]), ["_pid", *keys], "left")
+        out = out.withColumns({f"{c}{suffix}": F.when(F.col("_rn") == 1, F.col("_carry")[c])
+                               .otherwise(F.col(f"_local_{c}")) for c in lag_cols}).drop("_carry")
+    for value, extra, name in sums:
+        tot = ranged.groupBy("_pid", *keys, *extra).agg(F.sum(value).alias("_part"))
+        before = Window.partitionBy(*keys, *extra).orderBy("_pid") \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        tot = tot.withColumn(f"_off_{name}", F.coalesce(F.sum("_part").over(before), F.lit(0.0))).drop("_part")
+        out = out.join(joins.checked_dimension(tot, ["_pid", *keys, *extra]), ["_pid", *keys, *extra], "left")
+        out = out.withColumn(name, F.col(f"_local_{name}") + F.col(f"_off_{name}")).drop(f"_off_{name}")
+    nulls = {f"{c}{suffix}": _null_when_key_null(F.col(f"{c}{suffix}"), keys) for c in lag_cols}
+    nulls.update({name: _null_when_key_null(F.col(name), keys + list(extra)) for _, extra, name in sums})
+    out = out.withColumns(nulls)
+    drop = ["_pid", "_rn"] + [f"_local_{c}" for c in lag_cols] + [f"_local_{n}" for _, _, n in sums]
+    return out.drop(*drop)

@@ -28,6 +28,7 @@ class CleanOptions:
     winsor_column: str = "water_area_pct_change"
     quantile_method: str = "exact"
     materialize: bool = True           # write intermediate tables instead of recomputing them
+    scan: str = "range"                # "range": ordered scan over range partitions; "window": per-key windows
 
     def __post_init__(self):
         if self.bounds is None:
@@ -82,9 +83,14 @@ def clean_readings(df: DataFrame, opts: CleanOptions | None = None) -> DataFrame
         "rain_soil_interaction": rules.rain_soil_interaction("precipitation", "soil_moisture"),
         "_monsoon_rain": rules.seasonal_rain("is_monsoon", "precipitation"),
     })
-    out = timeseries.running_sum(out, "_monsoon_rain", [opts.entity, "year"], order, "monsoon_cumulative_precip")
     lag_sources = [c for c in fixed.LAG_COLUMNS if c in out.columns]
-    out = timeseries.lag_columns(out, lag_sources, [opts.entity], order)
+    if opts.scan == "range":
+        out = timeseries.ordered_scan(out, [opts.entity], order, lag_sources,
+                                      [("_monsoon_rain", ["year"], "monsoon_cumulative_precip")])
+    else:
+        out = timeseries.running_sum(out, "_monsoon_rain", [opts.entity, "year"], order,
+                                     "monsoon_cumulative_precip")
+        out = timeseries.lag_columns(out, lag_sources, [opts.entity], order)
     if opts.materialize:
         # the lag medians and the fill both read the windowed table
         out = cut_lineage(out, "clean-lagged")
