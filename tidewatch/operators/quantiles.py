@@ -22,6 +22,7 @@ def quantile_expr(c: str | Column, p: float, method: str = "exact", accuracy: in
 
 
 SELECT_MAX_GROUPS = 10_000
+MAP_MAX_ROWS = 2_000_000   # largest group for which a per-group value map is acceptable in one task
 
 
 def quantile_table(df: DataFrame, specs: dict[str, tuple[str, float]], group_cols: list[str] = (),
@@ -29,20 +30,26 @@ def quantile_table(df: DataFrame, specs: dict[str, tuple[str, float]], group_col
     """One row per group: ``{out_name: quantile(col, p)}`` for every spec.
 
     Null group keys are dropped (group-by in the source skips them).
-    ``exact``: over the whole table, or over at most ``SELECT_MAX_GROUPS`` groups
-    (where one group may hold a large share of the rows), histogram narrowing
-    (``selected_quantiles``); over many groups, Spark's per-group ``percentile``
-    (each group's value map stays in its own task).  ``approx``: the sketch.
+    ``exact`` measures the groups first.  When the largest group has at most
+    ``MAP_MAX_ROWS`` rows, Spark's ``percentile`` (a per-group value map, one job).
+    Otherwise, over the whole table or at most ``SELECT_MAX_GROUPS`` groups,
+    histogram narrowing (``selected_quantiles``), which never holds a group in
+    one task.  ``approx``: the fixed-size sketch.
     """
     if method == "exact":
-        if not group_cols:
-            return selected_quantiles(df, specs)
+        # measure first: group count and the largest group decide the strategy
         src = df
         for k in group_cols:
             src = src.where(F.col(k).isNotNull())
-        if src.select(*group_cols).distinct().limit(SELECT_MAX_GROUPS + 1).count() <= SELECT_MAX_GROUPS:
+        sizes = (src.groupBy(*group_cols) if group_cols else src.groupBy()).agg(F.count(F.lit(1)).alias("n"))
+        prof = sizes.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest")).first()
+        largest = prof["largest"] or 0
+        if largest <= MAP_MAX_ROWS:
+            method = "percentile"      # every group's value map is bounded: one aggregate job
+        elif prof["groups"] <= SELECT_MAX_GROUPS:
             return selected_quantiles(src, specs, list(group_cols))
-        method = "percentile"
+        else:
+            method = "percentile"      # many groups: maps spread over tasks, one group per task
     aggs = [quantile_expr(c, p, method).alias(name) for name, (c, p) in specs.items()]
     if not group_cols:
         return df.agg(*aggs)
