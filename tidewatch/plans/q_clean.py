@@ -159,3 +159,22 @@ CLEAN_COLS = _DEDUP_COLS + ["rain_soil_interaction", "monsoon_cumulative_precip"
 def q_clean_features(spark, sf):
     """The whole cleaning and feature job."""
     return round_doubles(clean.clean_readings(fixture.readings(spark, sf)).select(*CLEAN_COLS))
+
+
+_FRAME_DROP = ["flood_event", "date", "elevation", "latitude", "longitude", "water_area_km2", "water_area_change",
+               "water_area_pct_change", "ds_idx"]
+
+
+@register("q_feature_frame", statement(
+    "SELECT * EXCLUDE (" + ", ".join(_FRAME_DROP) + ", avg_elevation_m, terrain_type), CAST(flood_event AS INTEGER) AS label"
+    " FROM (SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in CLEAN_COLS
+                                       if c not in ("reading_id", "station", "district", "date", "month", "year",
+                                                    "day_of_year", "is_monsoon")) + ") FROM model)", "model"))
+def q_feature_frame(spark, sf):
+    """P7 + P14: forbidden and leakage-prone columns dropped, target as an INT label."""
+    from tidewatch.plans import baseline as _b
+
+    df = _b.fixture_model_frame(spark, sf).select(*CLEAN_COLS)
+    out = quality.feature_target_frame(df, extra_drop=["water_area_km2", "water_area_change",
+                                                       "water_area_pct_change", "ds_idx"])
+    return round_doubles(out)
