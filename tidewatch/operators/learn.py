@@ -144,12 +144,19 @@ def _slot_names(model: PipelineModel) -> list[str]:
     return names
 
 
-def permuted(df: DataFrame, column: str, repeats: int, seed: int = 42, buckets: int = 64) -> DataFrame:
+ROWS_PER_BUCKET = 500_000
+
+
+def permuted(df: DataFrame, column: str, repeats: int, seed: int = 42, buckets: int | None = None) -> DataFrame:
     """Copies of ``df`` (one per repeat, ``_repeat``) with ``column`` shuffled between rows.
 
     Rows get a seeded hash; inside each hash bucket values rotate by one place in
     hash order.  Each bucket is a cycle, so the column's multiset is unchanged.
+    The bucket count grows with the row count (about ``ROWS_PER_BUCKET`` rows per
+    bucket), so no window partition outgrows a task.
     """
+    if buckets is None:
+        buckets = max(64, -(-df.count() // ROWS_PER_BUCKET))
     x = df.withColumn("_rid", F.monotonically_increasing_id()) \
         .withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     h = F.xxhash64(F.lit(seed), F.col("_repeat"), F.lit(column), F.col("_rid"))

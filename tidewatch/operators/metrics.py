@@ -75,7 +75,11 @@ def exact_auc(df: DataFrame, label: str = "label", score: str = "score", groups:
     width = F.col("_hi") - F.col("_lo")
     bucket = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(score) - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).cast("int")
-    b = (per_score.join(F.broadcast(rng), g, "inner") if g else per_score.crossJoin(F.broadcast(rng)))
+    if g:
+        from tidewatch.operators import joins
+        b = per_score.join(joins.checked_dimension(rng, g), g, "inner")  # one row per group, size checked
+    else:
+        b = per_score.crossJoin(F.broadcast(rng))  # one row
     b = b.withColumn("_b", bucket)
     totals = b.groupBy(*g, "_b").agg(F.sum("nn").alias("_bn"))
     wb = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_b") \
