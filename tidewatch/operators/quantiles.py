@@ -162,6 +162,7 @@ def selected_quantiles(df: DataFrame, specs: dict[str, tuple[str, float]], group
                 small.append(i)
                 taken += live[t][3]
         big = [i for i, t in enumerate(ids) if live[t][3] > final_rows]
+        big = big[:max(1, budget // 16)]  # at least 16 buckets each, within the histogram budget
         tschema = ", ".join([f"`{k}` {dict(df.dtypes)[k]}" for k in g] + ["_col string", "_t int", "_lo double",
                                                                            "_hi double"])
         trows = [tuple(list(ids[i][0]) + [ids[i][1], i, live[ids[i]][0], live[ids[i]][1]]) for i in range(len(ids))]
