@@ -49,3 +49,16 @@ def test_csv_source_cleans_like_parquet(spark, sf_dir):
     a = clean.quality_counters(text).first().asDict()
     b = clean.quality_counters(raw).first().asDict()
     assert a == b
+
+
+def test_leaderboard_on_prepared_rows(spark, sf_dir):
+    frame, _ = training.prepare(fixture.readings(spark, sf_dir), fixture.terrain(spark, sf_dir),
+                                training.TrainOptions())
+    model = learn.fit(frame, learn.Features(), TINY[0])
+    board = training.leaderboard(training.prepared_scenarios(spark), model, "team", "institute",
+                                 "2026-05-09 11:13:15").collect()
+    assert [r.district for r in board] == ["Nowshera", "Jacobabad", "Sindh_District", "KP_District",
+                                           "Balochistan_District"]
+    assert all(r.risk_level in ("Low", "Medium", "High", "Critical") for r in board)
+    assert all(0.0 <= r.confidence_pct <= 100.0 for r in board)
+    assert board[0].top_feature and not board[0].top_feature.startswith(("num__", "cat__"))
