@@ -14,11 +14,21 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 1_000_000
 
 
+_PROFILES: dict[tuple, tuple[int, int]] = {}
+
+
 def dimension_profile(dim: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(row count, distinct key count) of a dimension in one aggregate job."""
-    row = dim.agg(F.count(F.lit(1)).alias("n"),
-                  F.count_distinct(F.struct(*[F.col(k) for k in keys])).alias("k")).first()
-    return int(row["n"]), int(row["k"])
+    """(row count, distinct key count) of a dimension in one aggregate job.
+
+    Remembered per session by the plan's semantic hash, so a dimension used by
+    several joins of one job is measured once.
+    """
+    memo = (id(dim.sparkSession), dim.semanticHash(), tuple(keys))
+    if memo not in _PROFILES:
+        row = dim.agg(F.count(F.lit(1)).alias("n"),
+                      F.count_distinct(F.struct(*[F.col(k) for k in keys])).alias("k")).first()
+        _PROFILES[memo] = (int(row["n"]), int(row["k"]))
+    return _PROFILES[memo]
 
 
 def checked_dimension(dim: DataFrame, keys: list[str], unique: bool = True,

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.operators import lookups
 from tidewatch.plans import clean
+from tidewatch.session import cut_lineage
 from tidewatch.sources import fixture
 
 
 def model_frame(raw: DataFrame, terrain: DataFrame, opts: clean.CleanOptions | None = None) -> DataFrame:
-    """C1 then J1: the cleaned readings with terrain attached."""
-    return lookups.attach_terrain(clean.clean_readings(raw, opts), terrain)
+    """C1 then J1: the cleaned readings with terrain attached.
+
+    Written once (several baselines and fits read it) unless materialising is off.
+    """
+    opts = opts or clean.CleanOptions()
+    out = lookups.attach_terrain(clean.clean_readings(raw, opts), terrain)
+    return cut_lineage(out, "model-frame") if opts.materialize else out
 
 
 def fixture_model_frame(spark: SparkSession, sf_dir: str, short_terrain: bool = False) -> DataFrame:
