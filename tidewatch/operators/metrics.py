@@ -75,8 +75,8 @@ def exact_auc(df: DataFrame, label: str = "label", score: str = "score", groups:
     width = F.col("_hi") - F.col("_lo")
     bucket = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(score) - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).cast("int")
+    from tidewatch.operators import joins
     if g:
-        from tidewatch.operators import joins
         b = per_score.join(joins.checked_dimension(rng, g), g, "inner")  # one row per group, size checked
     else:
         b = per_score.crossJoin(F.broadcast(rng))  # one row
@@ -86,7 +86,9 @@ def exact_auc(df: DataFrame, label: str = "label", score: str = "score", groups:
         .rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_prefix", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
     w_in = Window.partitionBy(*g, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    b = b.join(totals.select(*g, "_b", "_prefix"), g + ["_b"])
+    from tidewatch.operators import joins
+    # at most groups x buckets rows: size-checked, normally broadcast
+    b = b.join(joins.checked_dimension(totals.select(*g, "_b", "_prefix"), g + ["_b"]), g + ["_b"])
     below = F.col("_prefix") + F.coalesce(F.sum("nn").over(w_in), F.lit(0))
     b = b.withColumn("_num", (F.col("np").cast("decimal(38,0)") * (below * 2 + F.col("nn")).cast("decimal(38,0)")))
     agg = b.groupBy(*g).agg(F.sum("_num").alias("_num"), F.sum("np").alias("_p"), F.sum("nn").alias("_n"))
