@@ -30,7 +30,9 @@ SECONDS_PER_DAY = 2400  # 30 event days -> 1,080 calendar days
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load_table(spark, sf_dir, "events", ["event_id", "user_id", "ts", "value", "event_type", "props"])
     region = load_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    day = F.floor(F.timestamp_diff("SECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col("ts")) / SECONDS_PER_DAY)
+    # the epoch as TIMESTAMP_NTZ from text: independent of the session time zone
+    epoch = F.lit(EPOCH.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    day = F.floor(F.timestamp_diff("SECOND", epoch, F.col("ts")) / SECONDS_PER_DAY)
     e = ev.select(
         F.col("event_id").alias("reading_id"),
         F.col("user_id").alias("station"),
