@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ADDED = ["copy", "shuffle_key"]
+BROADCAST_BYTES = 8_000_000   # largest table of sources that is broadcast
 
 
 def uniform(text: F.Column) -> F.Column:
@@ -68,12 +69,15 @@ def replicate(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     Adds ``copy`` (from 0) and ``shuffle_key`` (digest of seed, id and copy): copies
     are dealt to partitions and sorted within them by it, so one source or one
     document's copies spread over all partitions.  The rate of a row's source
-    comes by an equi-join with the one-row-per-source table; its size is the
-    number of sources, left to the planner (no broadcast hint).
+    comes by an equi-join with the one-row-per-source table, which is broadcast
+    if its measured size is small and joined by shuffle otherwise.
     """
     df = df.select(*[c for c in df.columns if c not in ADDED])
     rates = source_rates(df, source_col, weights, alpha, target_rows) \
         .select(F.col("source").alias("_src"), F.col("rate").alias("_rate"))
+    chars, sources = rates.agg(F.sum(F.coalesce(F.octet_length(F.col("_src").cast("string")), F.lit(0))), F.count(F.lit(1))).first()
+    if (chars or 0) + 16 * sources <= BROADCAST_BYTES:
+        rates = F.broadcast(rates)
     rated = df.join(rates, df[source_col].eqNullSafe(F.col("_src")), "left")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     u = uniform(F.concat(F.lit(f"{seed}:"), key))
