@@ -7,7 +7,8 @@ Subtrees that are never content (menus, headers, footers, sidebars, forms,
 scripts, adverts, notices, comments, by element, role, class or id words) give
 no line.  Each line's ratio of text characters to tags is smoothed over its
 neighbours with a Gaussian window, and lines are clustered by a threshold, the
-standard deviation of the smoothed ratios.  A region is content if most of its
+ratios' standard deviation.  Ratios count up to 300, beyond which a line is
+text in any case.  A region is content if most of its
 text stands in lines above it; if a page has articles or main elements with
 text, only regions within these compete.  All lines of content regions are kept.
 
@@ -48,6 +49,7 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
 #: A start of the key ends an open element of the value (end tags that pages leave out).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
+DENSE = 300
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -149,12 +151,12 @@ def extract_text(html: str, sigma: float = 1.0) -> str:
     if any(x[3] for x in lines):
         lines = [x for x in lines if x[3]]
     if len({x[2] for x in lines}) > 1:
-        ratio = np.array([len(t) / max(1, tags) for t, tags, *_ in lines])
+        ratio = np.minimum([len(t) / max(1, tags) for t, tags, *_ in lines], DENSE)
         reach = max(1, round(3 * sigma))
         window = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
         padded = np.pad(ratio, reach, mode="edge")
         smooth = np.convolve(padded, window / window.sum(), mode="valid")
-        high = smooth >= smooth.std()
+        high = smooth >= ratio.std()
         size: dict[int, int] = {}
         above: dict[int, int] = {}
         for (t, _, region, _), h in zip(lines, high):
