@@ -36,6 +36,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 STRETCH = 31
 MARK = "▁"
 UNKNOWN = 1e-6   # probability of a character that no piece covers
+BROADCAST_BYTES = 8_000_000   # largest list of sampled ids that is broadcast
 FLOOR = 1e-7     # probability of a piece that the sample never uses
 
 
@@ -185,8 +186,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     w = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(31), F.col("id")), "id")
-    chosen = usable.select("id", "lang").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("id", "lang")
-    sample = usable.join(chosen.distinct(), ["id", "lang"], "left_semi")
+    chosen = usable.select("id", "lang").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("id", "lang").distinct()
+    size = chosen.agg(F.sum(F.octet_length("lang") + 32)).first()[0] or 0  # bytes, at most per_lang rows a language
+    sample = usable.join(F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen, ["id", "lang"], "left_semi")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
