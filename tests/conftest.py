@@ -12,11 +12,13 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from tidewatch.session import build_session, checkpoint_dir
+    import tempfile
 
-    s = build_session("local[*]", 8, "tidewatch-tests")
-    checkpoint_dir(s)  # sets a private folder only when the session names none
+    from tidewatch.session import build_session, release
+
+    s = build_session("local[*]", 8, "tidewatch-tests", checkpoint_dir=tempfile.mkdtemp(prefix="tests-"))
     yield s
+    release(s)
     s.stop()
 
 

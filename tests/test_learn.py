@@ -32,6 +32,12 @@ def test_unseen_category_is_all_zeros(spark, sf_dir):
 
 def test_permuted_keeps_values(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") % 17).alias("x"))
-    p = learn.permuted(df, "x", 3)
+    p = learn.permuted(df, "x", 3, id_col="id")
     a = sorted(r.x for r in df.collect()) * 3
     assert sorted(r.x for r in p.collect()) == sorted(a)
+
+
+def test_permutation_depends_on_ids_alone(spark):
+    df = spark.range(200).select("id", (F.col("id") % 17).alias("x"))
+    one, many = (sorted(tuple(r) for r in learn.permuted(df.repartition(n), "x", 2, id_col="id").collect()) for n in (1, 50))
+    assert one == many and sum(x != i % 17 for i, x, _ in one) > 300

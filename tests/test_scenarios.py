@@ -35,3 +35,11 @@ def test_imputation_unknown_district_is_unchanged(spark, sf_dir):
     raw = fixture.readings(spark, sf_dir)
     upd, audit = scenarios.impute_faulty_sensor(raw, "NOWHERE")
     assert audit is None and upd is raw
+
+
+def test_sentinel_rain_is_no_donor_value(spark, sf_dir):
+    raw = fixture.readings(spark, sf_dir).withColumn("precipitation", F.when(F.col("district") != "ASIA", F.lit("-999")).otherwise("4"))
+    _, audit = scenarios.impute_faulty_sensor(raw, "ASIA")
+    assert audit.first().imputed_precipitation == 4.0  # the median of what is known
+    _, literal = scenarios.impute_faulty_sensor(raw, "ASIA", keep_sentinels=True)
+    assert literal.first().imputed_precipitation == -999.0

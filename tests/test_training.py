@@ -10,7 +10,7 @@ from tidewatch.operators import learn, lookups
 from tidewatch.plans import clean, scoring, training
 from tidewatch.sources import fixture, tables
 
-TINY = [learn.ModelSpec("random_forest", trees=4, max_depth=4), learn.ModelSpec("gradient_boosted", trees=10, max_depth=2)]
+TINY = [learn.ModelSpec("random_forest", trees=4, max_depth=4), learn.ModelSpec("gradient_boosted", boost_rounds=10, boost_depth=2)]
 
 
 def _exposure(spark, sf):
@@ -32,6 +32,7 @@ def test_training_run_and_artifacts(spark, sf_dir):
     training.save_artifacts(result, out)
     meta = json.load(open(os.path.join(out, "model_meta.json")))
     assert meta["selected_model"] == result["selected_model"]
+    assert spark.read.parquet(os.path.join(out, "region_population")).count() > 0
     model, saved = tables.load_artifacts(spark, out)
     base = training.baseline_from_artifacts(saved)
     scored = scoring.score_reports(fixture.field_reports(spark, sf_dir).drop("score"), base,
@@ -51,14 +52,13 @@ def test_csv_source_cleans_like_parquet(spark, sf_dir):
     assert a == b
 
 
-def test_leaderboard_on_prepared_rows(spark, sf_dir):
+def test_leaderboard_on_latest_rows(spark, sf_dir):
     frame, _ = training.prepare(fixture.readings(spark, sf_dir), fixture.terrain(spark, sf_dir),
                                 training.TrainOptions())
     model = learn.fit(frame, learn.Features(), TINY[0])
-    board = training.leaderboard(training.prepared_scenarios(spark), model, "team", "institute",
-                                 "2026-05-09 11:13:15").collect()
-    assert [r.district for r in board] == ["Nowshera", "Jacobabad", "Sindh_District", "KP_District",
-                                           "Balochistan_District"]
-    assert all(r.risk_level in ("Low", "Medium", "High", "Critical") for r in board)
+    prepared = training.latest_per_district(frame).drop("rain_soil_interaction", "monsoon_cumulative_precip",
+                                                        "avg_elevation_m", "terrain_type")
+    board = training.leaderboard(prepared, model, "team", "institute", "2026-05-09 11:13:15").collect()
+    assert board and all(r.risk_level in ("Low", "Medium", "High", "Critical") for r in board)
     assert all(0.0 <= r.confidence_pct <= 100.0 for r in board)
     assert board[0].top_feature and not board[0].top_feature.startswith(("num__", "cat__"))

@@ -71,13 +71,13 @@ DISTRICT_TO_REGION = {
 }
 
 DISTRICT_RISK_PROFILE = {
-    "Sindh_District": {"settlement_type": "rural_floodplain", "exposure_factor": 0.85, "max_exposed_share": 0.08},
-    "Jacobabad": {"settlement_type": "urban_floodplain", "exposure_factor": 0.95, "max_exposed_share": 0.09},
-    "KP_District": {"settlement_type": "mixed_riverine", "exposure_factor": 0.80, "max_exposed_share": 0.07},
-    "Nowshera": {"settlement_type": "urban_riverine", "exposure_factor": 0.90, "max_exposed_share": 0.08},
-    "Balochistan_District": {"settlement_type": "sparse_plateau", "exposure_factor": 0.55, "max_exposed_share": 0.05},
+    "Sindh_District": {"exposure_factor": 0.85, "max_exposed_share": 0.08},
+    "Jacobabad": {"exposure_factor": 0.95, "max_exposed_share": 0.09},
+    "KP_District": {"exposure_factor": 0.80, "max_exposed_share": 0.07},
+    "Nowshera": {"exposure_factor": 0.90, "max_exposed_share": 0.08},
+    "Balochistan_District": {"exposure_factor": 0.55, "max_exposed_share": 0.05},
 }
-DEFAULT_RISK_PROFILE = {"settlement_type": "default", "exposure_factor": 0.75, "max_exposed_share": 0.06}
+DEFAULT_RISK_PROFILE = {"exposure_factor": 0.75, "max_exposed_share": 0.06}
 
 REGION_DISTRICT_DIVISOR = {
     "Sindh": 2,
@@ -207,24 +207,6 @@ STRESS_RAIN_MM = 500.0
 # --- fixed values: model choice weights ----------------------------------------
 CHOICE_WEIGHTS = {"holdout_recall": 0.60, "holdout_auc": 0.30, "folds_recall": 0.20, "folds_auc": 0.10}
 PREFERRED_HOLDOUT_YEAR = 2024
-ACCURACY_WARNING = 0.70
 
 # --- fixed values: feature-name prefixes removed for display --------------------
 FEATURE_PREFIXES = ["num__", "cat__", "feature__"]
-
-# --- fixed values: the leaderboard's prepared scenario rows ---------------------------
-LEADERBOARD_COLUMNS = [
-    "district", "precipitation", "precip_3day_avg", "precip_7day_avg", "soil_moisture", "soil_3day_avg",
-    "water_area_km2", "water_area_change", "water_area_pct_change", "temperature", "humidity", "pressure",
-    "evaporation", "wind_speed", "month", "day_of_year", "is_monsoon", "ds_idx",
-]
-LEADERBOARD_SCENARIOS = [
-    ("Nowshera", 142.5, 98.2, 61.4, 0.74, 0.68, 890.3, 210.5, 0.31, 31.2, 88.0, 98800.0, -0.0018, 4.1, 8, 227, 1, 3.0),
-    ("Jacobabad", 0.4, 1.2, 0.9, 0.09, 0.11, 42.1, -5.3, -0.11, 43.7, 24.0, 99800.0, 0.0061, 6.8, 6, 168, 0, 1.0),
-    ("Sindh_District", 387.0, 241.3, 138.6, 0.91, 0.87, 1420.7, 640.2, 0.82, 28.5, 96.0, 98200.0, -0.0031, 5.2, 9,
-     258, 1, 2.0),
-    ("KP_District", 55.8, 38.4, 22.1, 0.42, 0.38, 320.9, 45.6, 0.17, 24.1, 71.0, 99100.0, -0.0009, 3.3, 7, 196, 1,
-     1.0),
-    ("Balochistan_District", 18.3, 9.7, 5.4, 0.21, 0.19, 88.4, 12.1, 0.16, 33.8, 41.0, 99400.0, 0.0022, 5.9, 8, 215,
-     1, 4.0),
-]

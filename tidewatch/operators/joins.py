@@ -1,9 +1,10 @@
-"""Joins against dimension tables with a checked size.
+"""Joins against dimension tables.
 
-A dimension is broadcast only after one small aggregate has shown that it has
-at most ``max_broadcast_rows`` rows (and, where the join must be many-to-one,
-that its keys are unique).  Beyond that bound the join is left to the planner
-(sort-merge / shuffled hash, with AQE's skew handling).
+A many-to-one join needs unique dimension keys.  The check is part of the plan:
+the dimension is grouped by its keys and a key with several rows raises when
+the join runs, so it always sees the rows that are joined, and no job runs
+before the action.  Broadcasting is left to the planner, which goes by the
+dimension's size in bytes (at planning and, with AQE, at run time).
 """
 
 from __future__ import annotations
@@ -11,43 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 1_000_000
 
-
-_PROFILES: dict[tuple, tuple[int, int]] = {}
-
-
-def dimension_profile(dim: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(row count, distinct key count) of a dimension in one aggregate job.
-
-    Remembered per session by the plan's semantic hash, so a dimension used by
-    several joins of one job is measured once.
-    """
-    memo = (id(dim.sparkSession), dim.semanticHash(), tuple(keys))
-    if memo not in _PROFILES:
-        row = dim.agg(F.count(F.lit(1)).alias("n"),
-                      F.count_distinct(F.struct(*[F.col(k) for k in keys])).alias("k")).first()
-        _PROFILES[memo] = (int(row["n"]), int(row["k"]))
-    return _PROFILES[memo]
-
-
-def checked_dimension(dim: DataFrame, keys: list[str], unique: bool = True,
-                      max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The dimension, with a broadcast hint only when its measured size allows it.
-
-    Raises when ``unique`` and a key repeats (a many-to-one join is required).
-    """
-    dim = dim.cache()  # the size check and the join share one computation
-    n, k = dimension_profile(dim, keys)
-    if unique and n != k:
-        raise ValueError(f"dimension keys {keys} are not unique ({n} rows, {k} distinct keys)")
-    if n <= max_broadcast_rows:
-        return F.broadcast(dim)
-    dim.unpersist()
-    return dim
+def checked_dimension(dim: DataFrame, keys: list[str], unique: bool = True) -> DataFrame:
+    """The dimension without rows of null keys (they match nothing); a repeated key raises at run time."""
+    known = dim.dropna(subset=list(keys))
+    if not unique:
+        return known
+    rest = [c for c in dim.columns if c not in keys]
+    one = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in rest])
+    said = F.concat(F.lit(f"dimension keys {list(keys)} are not unique: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    checked = {k: F.when(F.col("_rows") > 1, F.raise_error(said)).otherwise(F.col(k)) for k in keys}
+    return one.select(*[checked[c].alias(c) if c in checked else F.col(c) for c in dim.columns])
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "left",
-                   unique: bool = True, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Equi-join a fact table to a dimension (size checked, keys validated)."""
-    return fact.join(checked_dimension(dim, keys, unique, max_broadcast_rows), on=keys, how=how)
+                   unique: bool = True) -> DataFrame:
+    """Equi-join of a fact table with a dimension of unique keys."""
+    return fact.join(checked_dimension(dim, keys, unique), on=keys, how=how)

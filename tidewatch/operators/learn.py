@@ -7,9 +7,8 @@
 * M2: random forest with balanced class weights (``weightCol``).
 * M3: the second candidate is a gradient-boosted tree ensemble (extremely
   randomised trees do not exist in Spark ML).
-* M9: permutation importance shuffles a column by rotating values inside
-  hash buckets (a random permutation without any global ordering), all
-  repeats of one feature in one scoring pass.
+* M9: permutation importance moves a column's values one row on in the order
+  of a seeded digest of the ids, all repeats of one feature in one scoring pass.
 """
 
 from __future__ import annotations
@@ -20,11 +19,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed
-from tidewatch.operators import metrics, quantiles
+from tidewatch.operators import metrics, quantiles, timeseries
 
 
 @dataclass
@@ -36,6 +35,8 @@ class ModelSpec:
     seed: int = 42
     balanced: bool = True
     max_bins: int = 32
+    boost_rounds: int = 100      # the boosted candidate's own settings
+    boost_depth: int = 5
 
 
 @dataclass
@@ -83,8 +84,8 @@ def preprocessor_stages(train: DataFrame, feats: Features) -> list:
 def classifier(spec: ModelSpec, label: str = "label"):
     """M2 / M3: the candidate estimator."""
     if spec.name == "gradient_boosted":
-        return GBTClassifier(labelCol=label, featuresCol="features", maxIter=max(10, spec.trees // 5),
-                             maxDepth=min(spec.max_depth, 5), minInstancesPerNode=spec.min_leaf, seed=spec.seed,
+        return GBTClassifier(labelCol=label, featuresCol="features", maxIter=spec.boost_rounds,
+                             maxDepth=spec.boost_depth, minInstancesPerNode=spec.min_leaf, seed=spec.seed,
                              weightCol="weight" if spec.balanced else None, maxBins=spec.max_bins)
     return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=spec.trees,
                                   minInstancesPerNode=spec.min_leaf, maxDepth=spec.max_depth, seed=spec.seed,
@@ -144,37 +145,35 @@ def _slot_names(model: PipelineModel) -> list[str]:
     return names
 
 
-ROWS_PER_BUCKET = 500_000
-
-
-def permuted(df: DataFrame, column: str, repeats: int, seed: int = 42, buckets: int | None = None) -> DataFrame:
+def permuted(df: DataFrame, column: str, repeats: int, seed: int = 42, id_col: str = "reading_id") -> DataFrame:
     """Copies of ``df`` (one per repeat, ``_repeat``) with ``column`` shuffled between rows.
 
-    Rows get a seeded hash; inside each hash bucket values rotate by one place in
-    hash order.  Each bucket is a cycle, so the column's multiset is unchanged.
-    The bucket count grows with the row count (about ``ROWS_PER_BUCKET`` rows per
-    bucket), so no window partition outgrows a task.
+    Per repeat, rows stand in the order of the md5 of seed, repeat, column and id
+    and every row takes the value of the row before it (the first that of the
+    last): one cycle through all rows, so the column's multiset is unchanged and
+    the result depends on ids alone, not on how rows are dealt out.  The order is
+    an ordered scan over range partitions.
     """
-    if buckets is None:
-        buckets = max(64, -(-df.count() // ROWS_PER_BUCKET))
-    x = df.withColumn("_rid", F.monotonically_increasing_id()) \
-        .withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    h = F.xxhash64(F.lit(seed), F.col("_repeat"), F.lit(column), F.col("_rid"))
-    x = x.withColumn("_h", h).withColumn("_bucket", F.pmod(F.col("_h"), F.lit(buckets)))
-    w = Window.partitionBy("_repeat", "_bucket").orderBy("_h", "_rid")
-    nxt = F.lead(F.struct(F.col(column).alias("v"))).over(w)
-    head = F.first(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return x.withColumn(column, F.when(nxt.isNull(), head).otherwise(nxt["v"])).drop("_h", "_bucket")
+    x = df.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_repeat").cast("string"), F.lit(column), F.col(id_col).cast("string")).cast("binary"))
+    x = x.withColumn("_h", h).withColumn("_v", F.struct(F.col(column).alias("v")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = timeseries.ordered_scan(x, ["_repeat"], ["_h", id_col], ["_v"], suffix="_before", partitions=parts)
+    last = x.groupBy(F.col("_repeat").alias("_r")).agg(F.max_by("_v", F.struct("_h", id_col)).alias("_last"))  # a row per repeat
+    out = out.join(last, F.col("_repeat") == F.col("_r"))
+    return out.withColumn(column, F.coalesce("_v_before", "_last")["v"]).drop("_h", "_v", "_v_before", "_r", "_last")
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, columns: list[str], repeats: int = 10,
-                           label: str = "label", seed: int = 42) -> DataFrame:
+                           label: str = "label", seed: int = 42, id_col: str = "reading_id") -> DataFrame:
     """M9: mean accuracy drop per feature when that feature is shuffled (``repeats`` times)."""
-    base = metrics.evaluate(predict(model, test), label, "prediction", "score").select("accuracy").first()[0]
+    test = test.select(id_col, label, *columns)  # what the model reads, before rows are repeated
+    hit = F.avg((F.col(label) == F.col("prediction")).cast("double"))
+    base = predict(model, test).agg(hit).first()[0]
     out = None
     for c in columns:
-        scored = predict(model, permuted(test, c, repeats, seed))
-        acc = scored.groupBy("_repeat").agg(F.avg((F.col(label) == F.col("prediction")).cast("double")).alias("a"))
+        scored = predict(model, permuted(test, c, repeats, seed, id_col))
+        acc = scored.groupBy("_repeat").agg(hit.alias("a"))
         part = acc.agg((F.lit(base) - F.avg("a")).alias("importance_mean"),
                        F.stddev_pop("a").alias("importance_std")).select(F.lit(c).alias("feature"), "*")
         out = part if out is None else out.unionByName(part)

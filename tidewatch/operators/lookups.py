@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed, rules
 from tidewatch.operators import joins, quantiles, timeseries
+from tidewatch.session import cut_lineage
 
 
 # --- J1 / J4 / W5: terrain -----------------------------------------------------------------
@@ -156,18 +157,20 @@ def nearest_to_one(cents: DataFrame, target_key, k: int) -> DataFrame:
         F.col("key").alias("target"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
     cand = cents.where(F.col("key") != F.lit(target_key)).crossJoin(F.broadcast(t))  # t has <= 1 row
     cand = cand.withColumn("dist", F.sqrt((F.col("lat") - F.col("tlat")) ** 2 + (F.col("lon") - F.col("tlon")) ** 2))
+    best = cand.orderBy("dist", "key").limit(k)  # k rows, ranked below
     w = Window.partitionBy("target").orderBy("dist", "key")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .select("target", F.col("key").alias("neighbour"), "dist", "rank")
+    return best.withColumn("rank", F.row_number().over(w)).select("target", F.col("key").alias("neighbour"), "dist", "rank")
 
 
-def nearest_keys(cents: DataFrame, k: int, max_rounds: int = 30) -> DataFrame:
+def nearest_keys(cents: DataFrame, k: int) -> DataFrame:
     """J6 for every key as target, exact, without an all-pairs join.
 
     Keys are placed on a square grid sized so that a cell holds about ``k`` keys;
     each target looks at the cells within ``r`` rings.  Anything outside lies
     farther than ``r * cell``, so a target whose k-th candidate is within that
-    distance is final; the rest retry with twice the radius.  Ties break by key.
+    distance is final; the rest retry with twice the radius, until one that
+    covers the whole grid.  Ties break by key.  Each round's targets and results
+    are written, so the plan does not grow with the rounds.
     """
     stats = cents.agg(F.count(F.lit(1)).alias("n"), F.min("lat").alias("a0"), F.max("lat").alias("a1"),
                       F.min("lon").alias("b0"), F.max("lon").alias("b1")).first()
@@ -183,7 +186,7 @@ def nearest_keys(cents: DataFrame, k: int, max_rounds: int = 30) -> DataFrame:
     done = None
     radius = 1
     span_cells = extent / cell + 2
-    for _ in range(max_rounds):
+    while True:
         offs = F.sequence(F.lit(-radius), F.lit(radius))
         probe = pending.select("*", F.explode(offs).alias("dx")).select("*", F.explode(offs).alias("dy")) \
             .withColumns({"pcx": F.col("tcx") + F.col("dx"), "pcy": F.col("tcy") + F.col("dy")})
@@ -196,10 +199,12 @@ def nearest_keys(cents: DataFrame, k: int, max_rounds: int = 30) -> DataFrame:
         final_all = radius >= span_cells
         kth = top.groupBy("target").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("dk"))
         ok = kth.where(F.lit(final_all) | ((F.col("m") >= k) & (F.col("dk") <= radius * cell))).select("target")
-        settled = top.join(ok, "target", "left_semi")
+        settled = cut_lineage(top.join(ok, "target", "left_semi"), "nearest")
         done = settled if done is None else done.unionByName(settled)
-        pending = pending.join(ok, "target", "left_anti")
-        if final_all or pending.limit(1).count() == 0:
+        if final_all:
+            break
+        pending = cut_lineage(pending.join(settled.select("target").distinct(), "target", "left_anti"), "pending")
+        if pending.isEmpty():
             break
         radius *= 2
     return done
@@ -213,16 +218,30 @@ def nearest_in_time(rows: DataFrame, targets: DataFrame, key: str, date_col: str
     order), else the non-null value with the smallest absolute date gap (ties: row order).
 
     ``targets`` has columns (target, donor, target_date); rows are the donors' rows.
-    One ``min_by`` aggregate per pair: map-side combined, no per-pair sort.
+    A donor is reduced to one row per date first (map-side combined); target and
+    donor dates then meet in one ordered pass per donor, which carries the date
+    before and the date after each target date.
     """
     r = rows.where(F.col(value).isNotNull() & F.col(date_col).isNotNull()).select(
         F.col(key).alias("donor"), F.col(date_col).alias("_d"), F.col(value).alias("_v"),
         F.col(seq_col).cast("long").alias("_s"))
-    j = r.join(joins.checked_dimension(targets, ["target", "donor"]), "donor")
-    gap = F.abs(F.datediff(F.col("_d"), F.col("target_date")))
-    order = F.struct(gap.alias("g"), F.when(gap == 0, -F.col("_s")).otherwise(F.col("_s")).alias("s"))
-    return j.groupBy("target", "donor").agg(F.min_by("_v", order).alias(value),
-                                            F.min(gap).alias("date_gap"))
+    days = r.groupBy("donor", "_d").agg(F.min("_s").alias("s"), F.min_by("_v", "_s").alias("first"), F.max_by("_v", "_s").alias("last"))
+    days = days.select("donor", "_d", F.struct(F.col("_d").alias("d"), "s", "first", "last").alias("day"))
+    kind = days.schema["day"].dataType
+    asked = targets.select("donor", F.col("target_date").alias("_d")).distinct().withColumn("day", F.lit(None).cast(kind))
+    both = days.unionByName(asked)
+    w = Window.partitionBy("donor").orderBy("_d", F.col("day").isNull())
+    near = both.withColumns({
+        "before": F.last("day", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "after": F.first("day", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where(F.col("day").isNull())
+    gap = lambda c: F.abs(F.datediff(F.col(f"{c}.d"), F.col("_d")))
+    back, on = gap("before"), gap("after")
+    earlier = on.isNull() | (back < on) | ((back == on) & (F.col("before.s") < F.col("after.s")))
+    found = near.select(F.col("donor").alias("_donor"), F.col("_d").alias("_date"),
+                        F.when(back == 0, F.col("before.last")).when(earlier & back.isNotNull(), F.col("before.first"))
+                        .otherwise(F.col("after.first")).alias(value), F.least(back, on).alias("date_gap"))
+    return targets.join(found, (F.col("donor") == F.col("_donor")) & (F.col("target_date") == F.col("_date"))) \
+        .where(F.col("date_gap").isNotNull()).select("target", "donor", value, "date_gap")
 
 
 def global_median_or(df: DataFrame, value: str, default: float = 0.0) -> DataFrame:

@@ -8,12 +8,11 @@ group never sends its raw rows to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed
-
-AUC_BUCKETS = 1024
+from tidewatch.operators import timeseries
 
 
 def _safe_div(num: Column, den: Column) -> Column:
@@ -58,38 +57,21 @@ def class_report(cells: DataFrame, groups: list[str] = ()) -> DataFrame:
     return pos.unionByName(neg)
 
 
-def exact_auc(df: DataFrame, label: str = "label", score: str = "score", groups: list[str] = (),
-              buckets: int = AUC_BUCKETS) -> DataFrame:
+def exact_auc(df: DataFrame, label: str = "label", score: str = "score", groups: list[str] = ()) -> DataFrame:
     """Exact ROC AUC per group (ties count one half); 0.0 when a group has one class.
 
     Per distinct score: positives ``np`` and negatives ``nn``.  Negatives below a
-    score = negatives of lower score buckets (a small prefix table) + lower
-    scores inside its own bucket.  The numerator sum(np * (2 below + nn)) is an
-    exact integer.
+    score come from an ordered scan of the distinct scores over range partitions,
+    so clustered scores spread like any others.  The numerator
+    sum(np * (2 below + nn)) is an exact integer.
     """
     g = list(groups)
     y = F.col(label)
     per_score = df.where(F.col(score).isNotNull()).groupBy(*g, score).agg(
         F.count_if(y == 1).cast("long").alias("np"), F.count_if(y != 1).cast("long").alias("nn"))
-    rng = per_score.groupBy(*g).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(score) - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).cast("int")
-    from tidewatch.operators import joins
-    if g:
-        b = per_score.join(joins.checked_dimension(rng, g), g, "inner")  # one row per group, size checked
-    else:
-        b = per_score.crossJoin(F.broadcast(rng))  # one row
-    b = b.withColumn("_b", bucket)
-    totals = b.groupBy(*g, "_b").agg(F.sum("nn").alias("_bn"))
-    wb = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_b") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_prefix", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
-    w_in = Window.partitionBy(*g, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    from tidewatch.operators import joins
-    # at most groups x buckets rows: size-checked, normally broadcast
-    b = b.join(joins.checked_dimension(totals.select(*g, "_b", "_prefix"), g + ["_b"]), g + ["_b"])
-    below = F.col("_prefix") + F.coalesce(F.sum("nn").over(w_in), F.lit(0))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = timeseries.ordered_scan(per_score, g, [score], sums=[("nn", [], "_upto")], partitions=parts, skip_null_keys=False)
+    below = F.col("_upto") - F.col("nn")
     b = b.withColumn("_num", (F.col("np").cast("decimal(38,0)") * (below * 2 + F.col("nn")).cast("decimal(38,0)")))
     agg = b.groupBy(*g).agg(F.sum("_num").alias("_num"), F.sum("np").alias("_p"), F.sum("nn").alias("_n"))
     auc = F.when((F.col("_p") == 0) | (F.col("_n") == 0), F.lit(0.0)).otherwise(
@@ -132,7 +114,7 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> D
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     totals = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = counts.crossJoin(totals).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label, "left")  # one row per class
+    return df.join(w, label, "left")  # one row per class
 
 
 def score_summary(df: DataFrame, score: str = "score") -> DataFrame:

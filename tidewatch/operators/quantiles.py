@@ -1,63 +1,67 @@
-"""Quantiles and medians.
-
-``method="exact"`` gives pandas' default: linear interpolation between the two
-order statistics around ``p * (n - 1)``.  Nulls are skipped; an all-null group
-gives null.  ``method="approx"`` uses Spark's streaming sketch with a bounded
-relative rank error (``accuracy``), one pass with fixed-size partial buffers.
+"""Quantiles and medians.
+
+``method="exact"`` is linear interpolation between the two order statistics
+around ``p * (n - 1)``, whatever the size of the table or of a group: distinct
+values are counted and ranked over range partitions (``selection.value_ranks``),
+so no group meets in one task.  Null and NaN are missing values and skipped;
+infinities are values, and between a finite value and an
+infinity lies the infinity.  A group without values gives null.  ``method="approx"``
+is Spark's streaming sketch with a bounded relative rank error (``accuracy``).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators import selection
 
-def quantile_expr(c: str | Column, p: float, method: str = "exact", accuracy: int = 10000) -> Column:
-    x = F.col(c) if isinstance(c, str) else c
-    if method == "approx":
-        return F.percentile_approx(x, F.lit(p), F.lit(accuracy))
-    return F.percentile(x, F.lit(p))  # "percentile": Spark's exact per-group value map
 
-
-SELECT_MAX_GROUPS = 10_000
-MAP_MAX_ROWS = 2_000_000   # largest group for which a per-group value map is acceptable in one task
+def present(c: str) -> Column:
+    """The column as a double, null where it is missing (null or NaN)."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def quantile_table(df: DataFrame, specs: dict[str, tuple[str, float]], group_cols: list[str] = (),
-                   method: str = "exact", drop_null_keys: bool = True) -> DataFrame:
+                   method: str = "exact", drop_null_keys: bool = True, accuracy: int = 10000) -> DataFrame:
     """One row per group: ``{out_name: quantile(col, p)}`` for every spec.
 
-    Null group keys are dropped (group-by in the source skips them).
-    ``exact`` measures the groups first.  When the largest group has at most
-    ``MAP_MAX_ROWS`` rows, Spark's ``percentile`` (a per-group value map, one job).
-    Otherwise, over the whole table or at most ``SELECT_MAX_GROUPS`` groups,
-    histogram narrowing (``selected_quantiles``), which never holds a group in
-    one task.  ``approx``: the fixed-size sketch.
+    Null group keys are dropped (group-by in the source skips them) unless
+    ``drop_null_keys`` is off.
     """
-    if method == "exact":
-        # measure first: group count and the largest group decide the strategy
-        src = df
-        for k in group_cols:
-            src = src.where(F.col(k).isNotNull())
-        sizes = (src.groupBy(*group_cols) if group_cols else src.groupBy()).agg(F.count(F.lit(1)).alias("n"))
-        prof = sizes.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest")).first()
-        largest = prof["largest"] or 0
-        if largest <= MAP_MAX_ROWS:
-            method = "percentile"      # every group's value map is bounded: one aggregate job
-        elif prof["groups"] <= SELECT_MAX_GROUPS:
-            return selected_quantiles(src, specs, list(group_cols))
-        else:
-            method = "percentile"      # many groups: maps spread over tasks, one group per task
-    aggs = [quantile_expr(c, p, method).alias(name) for name, (c, p) in specs.items()]
-    if not group_cols:
-        return df.agg(*aggs)
-    src = df
-    if drop_null_keys:
-        for k in group_cols:
-            src = src.where(F.col(k).isNotNull())
-    return src.groupBy(*group_cols).agg(*aggs)
+    g = list(group_cols)
+    src = df.dropna(subset=g) if g and drop_null_keys else df
+    if method == "approx":
+        return (src.groupBy(*g) if g else src).agg(
+            *[F.percentile_approx(present(c), F.lit(p), F.lit(accuracy)).alias(name) for name, (c, p) in specs.items()])
+    cols = sorted({c for c, _ in specs.values()})
+    long = src.select(*g, F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), present(c).alias("_x")) for c in cols])).alias("_v"))
+    long = long.select(*g, "_v._col", "_v._x")
+    # nulls stay until the ranks are known, so that every group has a row; they rank first and are taken off again
+    ranks = selection.value_ranks(long, [*g, "_col"], ["_x"])
+    sizes = long.groupBy(*g, "_col").agg(F.count("_x").alias("_have"), F.count(F.lit(1)).alias("_all"))
+    named = sizes.select(*[F.col(c).alias(f"_s_{c}") for c in [*g, "_col"]], "_have", "_all")
+    same = F.lit(True)
+    for c in [*g, "_col"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    sized = ranks.join(named, same).drop(*[c for c in named.columns if c.startswith("_s_")])
+    missing = F.col("_all") - F.col("_have")
+    picks = []
+    for name, (c, p) in specs.items():
+        pos = F.lit(p) * (F.col("_have") - 1)
+        mine = (F.col("_col") == c) & (F.col("_have") > 0)
+        low, high = selection.holds_rank(F.floor(pos) + missing), selection.holds_rank(F.ceil(pos) + missing)
+        picks += [F.max(F.when(mine & low, F.col("_x"))).alias(f"_lo_{name}"), F.max(F.when(mine & high, F.col("_x"))).alias(f"_hi_{name}"),
+                  F.max(F.when(mine, pos - F.floor(pos))).alias(f"_t_{name}")]
+    found = (sized.groupBy(*g) if g else sized).agg(*picks)
+
+    def between(name: str) -> Column:
+        lo, hi, t = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_t_{name}")
+        step = hi - lo  # the convention of the common array libraries: from the nearer end
+        return F.when((lo == hi) | (t == 0) | (lo == float("-inf")), lo).when(hi == float("inf"), hi).when(t >= 0.5, hi - step * (F.lit(1.0) - t)).otherwise(lo + step * t)
+
+    return found.select(*g, *[between(name).alias(name) for name in specs])
 
 
 def medians(df: DataFrame, value_cols: list[str], group_cols: list[str] = (), method: str = "exact") -> DataFrame:
@@ -87,127 +91,3 @@ def fill_with_medians(df: DataFrame, columns: list[str], method: str = "exact")
     out = df.crossJoin(F.broadcast(med))
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in columns})
     return out.drop(*[f"_med_{c}" for c in columns])
-
-
-# --- exact quantiles by histogram narrowing ----------------------------------------------------
-
-HIST_BUDGET = 200_000     # histogram rows collected per round, all targets together
-FINAL_ROWS = 2_000        # a target whose range holds at most this many rows is finished by collecting them
-
-
-def _lerp(lo: float, hi: float, t: float) -> float:
-    """numpy's linear interpolation (the pandas default)."""
-    d = hi - lo
-    return hi - d * (1.0 - t) if t >= 0.5 else lo + d * t
-
-
-def selected_quantiles(df: DataFrame, specs: dict[str, tuple[str, float]], group_cols: list[str] = (),
-                       budget: int = HIST_BUDGET, final_rows: int = FINAL_ROWS) -> DataFrame:
-    """Exact linear-interpolated quantiles without holding any group in one task.
-
-    The value columns are unpivoted to (group, column, x).  Every needed order
-    statistic (group, column, rank) is a target; each round buckets the rows
-    still in a target's range (one aggregate, map-side combined, at most
-    ``budget`` histogram rows in total) and keeps the bucket holding the rank.
-    A range of equal values or of few rows is finished at once.  Null group
-    keys are dropped; all-null groups give null.
-    """
-    spark = df.sparkSession
-    g = list(group_cols)
-    cols = sorted({c for c, _ in specs.values()})
-    src = df
-    for k in g:
-        src = src.where(F.col(k).isNotNull())
-    long = src.select(*g, F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x"))
-                                             for c in cols])).alias("_v"))
-    long = long.select(*g, "_v._col", "_v._x").where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    ok = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(ok[c]).alias(f"_n{i}"), F.min(ok[c]).alias(f"_lo{i}"), F.max(ok[c]).alias(f"_hi{i}")]
-    stats = (src.groupBy(*g) if g else src.groupBy()).agg(*aggs).collect()  # one row per group
-    gkey = lambda r: tuple(r[k] for k in g)
-    by_gc = {}
-    for r in stats:
-        for i, c in enumerate(cols):
-            if r[f"_n{i}"]:
-                by_gc[(gkey(r), c)] = {"n": r[f"_n{i}"], "lo": r[f"_lo{i}"], "hi": r[f"_hi{i}"]}
-    groups = [gkey(r) for r in stats if (r["_rows"] or g)]
-    # targets: (group, column, rank) -> state [lo, hi, offset, n_in_range, value]
-    targets: dict[tuple, list] = {}
-    plan = {}
-    for grp in groups:
-        for name, (c, p) in specs.items():
-            r = by_gc.get((grp, c))
-            if r is None:
-                plan[(grp, name)] = None
-                continue
-            pos = p * (r["n"] - 1)
-            lo_k, hi_k = int(math.floor(pos)), int(math.ceil(pos))
-            plan[(grp, name)] = (c, lo_k, hi_k, pos - lo_k)
-            for k in (lo_k, hi_k):
-                targets.setdefault((grp, c, k), [r["lo"], r["hi"], 0, r["n"], None])
-    while True:
-        live = {t: s for t, s in targets.items() if s[4] is None}
-        for t, s in live.items():
-            if s[0] == s[1]:
-                s[4] = s[0]
-        live = {t: s for t, s in live.items() if s[4] is None}
-        if not live:
-            break
-        ids = list(live)
-        small, taken = [], 0
-        for i, t in enumerate(ids):
-            if live[t][3] <= final_rows and taken + live[t][3] <= budget:
-                small.append(i)
-                taken += live[t][3]
-        big = [i for i, t in enumerate(ids) if live[t][3] > final_rows]
-        big = big[:max(1, budget // 16)]  # at least 16 buckets each, within the histogram budget
-        tschema = ", ".join([f"`{k}` {dict(df.dtypes)[k]}" for k in g] + ["_col string", "_t int", "_lo double",
-                                                                           "_hi double"])
-        trows = [tuple(list(ids[i][0]) + [ids[i][1], i, live[ids[i]][0], live[ids[i]][1]]) for i in range(len(ids))]
-        tdf = F.broadcast(spark.createDataFrame(trows, tschema))  # one row per live target (bounded)
-        cand = long.join(tdf, g + ["_col"]).where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-        if small:
-            rows = cand.where(F.col("_t").isin(small)).select("_t", "_x").collect()  # <= final_rows per target
-            vals: dict[int, list] = {}
-            for r in rows:
-                vals.setdefault(r["_t"], []).append(r["_x"])
-            for i in small:
-                t = ids[i]
-                s = live[t]
-                v = sorted(vals.get(i, []))
-                s[4] = v[t[2] - s[2]]
-        if big:
-            buckets = max(16, min(1024, budget // len(big)))
-            width = (F.col("_hi") - F.col("_lo")) / buckets
-            b = F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(buckets - 1)).cast("int")
-            hist = cand.where(F.col("_t").isin(big)).withColumn("_b", b).groupBy("_t", "_b").agg(
-                F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect()
-            per: dict[int, list] = {}
-            for r in hist:
-                per.setdefault(r["_t"], []).append(r)
-            for i in big:
-                t = ids[i]
-                s = live[t]
-                for r in sorted(per[i], key=lambda r: r["_b"]):
-                    if t[2] - s[2] < r["n"]:
-                        s[0], s[1], s[3] = r["lo"], r["hi"], r["n"]
-                        break
-                    s[2] += r["n"]
-    out_rows = []
-    for grp in groups:
-        row = list(grp)
-        for name in specs:
-            p = plan[(grp, name)]
-            if p is None:
-                row.append(None)
-                continue
-            c, lo_k, hi_k, frac = p
-            lo_v, hi_v = targets[(grp, c, lo_k)][4], targets[(grp, c, hi_k)][4]
-            row.append(lo_v if lo_k == hi_k else _lerp(lo_v, hi_v, frac))
-        out_rows.append(tuple(row))
-    schema = ", ".join([f"`{k}` {dict(df.dtypes)[k]}" for k in g] + [f"`{n}` double" for n in specs])
-    if not g and not out_rows:
-        out_rows = [tuple([None] * len(specs))]
-    return spark.createDataFrame(out_rows, schema)

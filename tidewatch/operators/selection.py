@@ -1,14 +1,9 @@
-"""Exact order statistics without a global sort (used by W7-W10 and global quantiles).
+"""Exact ranks and order statistics (used by W7-W10, quantiles and the ROC AUC).
 
-``kth_row(df, order_cols, k)`` returns the values of the k-th row (0-based) in
-lexicographic order of ``order_cols`` (numeric or DATE columns).  Each round
-is one aggregate: rows still in play are bucketed into at most ``buckets``
-equal-width ranges, per-bucket count / min / max come back (bounded), and the
-bucket holding rank k becomes the next range.  Once few rows remain they are
-collected (at most ``collect_limit`` values of one column).  A range whose
-min equals its max is settled at once, however many rows share that value, so
-heavy ties and hot keys cost one round.  Work per round is a map-side combined
-aggregate; nothing is sorted globally and no group lands in one task.
+Equal rows are counted first (a map-side combined aggregate, so ties and hot
+values collapse); the distinct rows are then numbered by an ordered scan over
+range partitions, which spreads any group over many tasks.  Values keep their
+types: 64-bit ids, dates and infinities sort as they are.
 """
 
 from __future__ import annotations
@@ -16,68 +11,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1000
-COLLECT_LIMIT = 50_000
+from tidewatch.operators import timeseries
 
 
-def _numeric(df: DataFrame, c: str) -> Column:
-    t = dict(df.dtypes)[c]
-    if t == "date":
-        return F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("double")
-    return F.col(c).cast("double")
+def value_ranks(df: DataFrame, groups: list[str], order_cols: list[str]) -> DataFrame:
+    """One row per distinct (groups, order_cols): ``n`` equal rows, the last of which has rank ``upto`` (from 1)
+    in the group's ascending order.  A null group is a group; null order values come first."""
+    counts = df.groupBy(*groups, *order_cols).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return timeseries.ordered_scan(counts, list(groups), list(order_cols), sums=[("n", [], "upto")],
+                                   partitions=parts, skip_null_keys=False)
 
 
-def _from_numeric(df: DataFrame, c: str, v):
-    import datetime as dt
+def holds_rank(k: Column | int) -> Column:
+    """The 0-based rank ``k`` falls on this row of ``value_ranks``."""
+    return (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
 
-    t = dict(df.dtypes)[c]
-    if t == "date":
-        return dt.date(1970, 1, 1) + dt.timedelta(days=int(v))
-    if t in ("int", "bigint", "smallint", "tinyint"):
-        return int(v)
-    return v
 
-
-def kth_value(df: DataFrame, c: str, k: int, buckets: int = BUCKETS,
-              collect_limit: int = COLLECT_LIMIT) -> tuple[float, int]:
-    """(value of column ``c`` at rank k (0-based, nulls excluded), number of rows below it)."""
-    x = _numeric(df, c)
-    live = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-    offset = 0
-    stats = live.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
-    n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-    if n is None or k < 0 or k >= n:
-        raise IndexError(f"rank {k} outside 0..{(n or 0) - 1}")
-    while True:
-        if lo == hi:
-            return lo, offset
-        if n <= collect_limit:
-            vals = sorted(r["_x"] for r in live.where((F.col("_x") >= lo) & (F.col("_x") <= hi)).collect())
-            v = vals[k - offset]
-            return v, offset + sum(1 for u in vals if u < v)
-        width = (hi - lo) / buckets
-        b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-        rng = live.where((F.col("_x") >= lo) & (F.col("_x") <= hi)).withColumn("_b", b)
-        hist = rng.groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
-                                     F.max("_x").alias("hi")).collect()
-        hist.sort(key=lambda r: r["_b"])
-        for r in hist:
-            if k - offset < r["n"]:
-                n, lo, hi = r["n"], r["lo"], r["hi"]
-                break
-            offset += r["n"]
+def kth_rows(df: DataFrame, order_cols: list[str], ks: list[int]) -> list[tuple]:
+    """Values of ``order_cols`` at the given 0-based ranks, from one pass (rows with a null in them do not count)."""
+    ranks = value_ranks(df.select(*order_cols).dropna(), [], order_cols)
+    hit = F.lit(False)
+    for k in ks:
+        hit = hit | holds_rank(F.lit(k))
+    found = ranks.where(hit).collect()  # at most one row per rank asked for
+    out = []
+    for k in ks:
+        row = next((r for r in found if r["upto"] - r["n"] <= k < r["upto"]), None)
+        if row is None:
+            raise IndexError(f"rank {k} outside the rows")
+        out.append(tuple(row[c] for c in order_cols))
+    return out
 
 
-def kth_row(df: DataFrame, order_cols: list[str], k: int, **kw) -> tuple:
+def kth_row(df: DataFrame, order_cols: list[str], k: int) -> tuple:
     """Values of ``order_cols`` at the k-th row (0-based) of the lexicographic order."""
-    out = []
-    frame = df
-    for c in order_cols:
-        v, below = kth_value(frame, c, k, **kw)
-        out.append(_from_numeric(df, c, v))
-        k -= below
-        frame = frame.where(_numeric(frame, c) == F.lit(v))
-    return tuple(out)
+    return kth_rows(df, order_cols, [k])[0]
 
 
 def before(order_cols: list[str], cut: tuple) -> Column:

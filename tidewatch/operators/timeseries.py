@@ -95,9 +95,12 @@ def last_value(df: DataFrame, keys: list[str], value: str, order_cols: list[str]
 
 # --- ordered scan over range partitions (hot keys) ---------------------------------------------
 
+SCAN_ROWS = 2_000_000   # rows a range partition holds about
+
+
 def ordered_scan(df: DataFrame, keys: list[str], order_cols: list[str], lag_cols: list[str] = (),
                  sums: list[tuple[str, list[str], str]] = (), suffix: str = "_lag1",
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, skip_null_keys: bool = True) -> DataFrame:
     """W1 + W2 without a window over a whole key.
 
     Rows are range-partitioned by (keys, order) -- the sampled bounds split a key
@@ -105,45 +108,60 @@ def ordered_scan(df: DataFrame, keys: list[str], order_cols: list[str], lag_cols
     partition id, then written once (``cut_lineage``) so the tags are stable.
     Windows run per (partition, key) slice; each slice's first row takes its
     previous row from the last row of the key in an earlier partition, and
-    running sums add the totals of earlier partitions.  Both carries come from
-    small per-partition aggregates.
+    running sums add the totals of earlier partitions.  Both carries have a row
+    only for a key that goes on from an earlier partition: one key per partition.
 
     ``sums``: (value column, extra partition columns, output column), e.g.
-    ("rain", ["year"], "cumulative_rain") for a running sum per (key, year).
-    Rows with a null key get null lags and sums (group operations skip null keys).
+    ("rain", ["year"], "cumulative_rain") for a running sum per (key, year); the
+    sum is null until a value has been seen.  ``partitions`` defaults to one per
+    ``SCAN_ROWS`` rows and at least the session's shuffle partitions.  Rows with
+    a null key get null lags and sums (group operations skip null keys) unless
+    ``skip_null_keys`` is off, which makes null a key like others.
     """
-    from tidewatch.operators import joins
     from tidewatch.session import cut_lineage
 
     spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SCAN_ROWS))
     ranged = df.repartitionByRange(n_parts, *keys, *order_cols).withColumn("_pid", F.spark_partition_id())
     ranged = cut_lineage(ranged, "ordered-scan")
     slice_w = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
-    out = ranged.withColumn("_rn", F.row_number().over(slice_w))
+    out = ranged.withColumn("_rn", F.row_number().over(slice_w)) if lag_cols else ranged
     out = out.withColumns({f"_local_{c}": F.lag(c, 1).over(slice_w) for c in lag_cols})
     for value, extra, name in sums:
         w = Window.partitionBy("_pid", *keys, *extra).orderBy(*order_cols) \
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = out.withColumn(f"_local_{name}", F.sum(value).over(w))
+
+    def attach(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+        """Left join with a carry table, nulls equal (at most one key per partition: small enough to broadcast)."""
+        named = small.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in small.columns if c not in on])
+        same = None
+        for c in on:
+            term = F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+            same = term if same is None else same & term
+        return big.join(F.broadcast(named), same, "left").drop(*[f"_on_{c}" for c in on])
+
     if lag_cols:
         last = ranged.groupBy("_pid", *keys).agg(
             F.max_by(F.struct(*[F.col(c) for c in lag_cols]), F.struct(*[F.col(c) for c in order_cols]))
             .alias("_last"))
         carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_pid"))) \
-            .drop("_last")
-        out = out.join(joins.checked_dimension(carry, ["_pid", *keys]), ["_pid", *keys], "left")
+            .drop("_last").where(F.col("_carry").isNotNull())
+        out = attach(out, carry, ["_pid", *keys])
         out = out.withColumns({f"{c}{suffix}": F.when(F.col("_rn") == 1, F.col("_carry")[c])
                                .otherwise(F.col(f"_local_{c}")) for c in lag_cols}).drop("_carry")
     for value, extra, name in sums:
         tot = ranged.groupBy("_pid", *keys, *extra).agg(F.sum(value).alias("_part"))
-        before = Window.partitionBy(*keys, *extra).orderBy("_pid") \
+        earlier = Window.partitionBy(*keys, *extra).orderBy("_pid") \
             .rowsBetween(Window.unboundedPreceding, -1)
-        tot = tot.withColumn(f"_off_{name}", F.coalesce(F.sum("_part").over(before), F.lit(0.0))).drop("_part")
-        out = out.join(joins.checked_dimension(tot, ["_pid", *keys, *extra]), ["_pid", *keys, *extra], "left")
-        out = out.withColumn(name, F.col(f"_local_{name}") + F.col(f"_off_{name}")).drop(f"_off_{name}")
-    nulls = {f"{c}{suffix}": _null_when_key_null(F.col(f"{c}{suffix}"), keys) for c in lag_cols}
-    nulls.update({name: _null_when_key_null(F.col(name), keys + list(extra)) for _, extra, name in sums})
-    out = out.withColumns(nulls)
+        tot = tot.withColumn(f"_off_{name}", F.sum("_part").over(earlier)).drop("_part").where(F.col(f"_off_{name}").isNotNull())
+        out = attach(out, tot, ["_pid", *keys, *extra])
+        local, off = F.col(f"_local_{name}"), F.col(f"_off_{name}")
+        out = out.withColumn(name, F.when(local.isNotNull() | off.isNotNull(),
+                                          F.coalesce(local, F.lit(0)) + F.coalesce(off, F.lit(0)))).drop(f"_off_{name}")
+    if skip_null_keys:
+        nulls = {f"{c}{suffix}": _null_when_key_null(F.col(f"{c}{suffix}"), keys) for c in lag_cols}
+        nulls.update({name: _null_when_key_null(F.col(name), keys + list(extra)) for _, extra, name in sums})
+        out = out.withColumns(nulls)
     drop = ["_pid", "_rn"] + [f"_local_{c}" for c in lag_cols] + [f"_local_{n}" for _, _, n in sums]
     return out.drop(*drop)

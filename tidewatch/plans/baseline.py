@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.operators import lookups
 from tidewatch.plans import clean
 from tidewatch.session import cut_lineage
-from tidewatch.sources import fixture
+from tidewatch.sources import fixture, store
 
 
 def model_frame(raw: DataFrame, terrain: DataFrame, opts: clean.CleanOptions | None = None) -> DataFrame:
@@ -22,8 +22,19 @@ def model_frame(raw: DataFrame, terrain: DataFrame, opts: clean.CleanOptions | N
     return cut_lineage(out, "model-frame") if opts.materialize else out
 
 
+def fixture_inputs(sf_dir: str) -> list[str]:
+    """The driver tables the readings and dimensions are derived from."""
+    return [f"{sf_dir}/{t}.parquet" for t in ("events", "region", "nation", "customer")]
+
+
+def fixture_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 over the derived readings, prepared once per application and input."""
+    return store.once(spark, "clean", fixture_inputs(sf_dir), lambda: clean.clean_readings(fixture.readings(spark, sf_dir)))
+
+
 def fixture_model_frame(spark: SparkSession, sf_dir: str, short_terrain: bool = False) -> DataFrame:
-    return model_frame(fixture.readings(spark, sf_dir), fixture.terrain(spark, sf_dir, short_terrain))
+    """J1 on the prepared C1 table."""
+    return lookups.attach_terrain(fixture_clean(spark, sf_dir), fixture.terrain(spark, sf_dir, short_terrain))
 
 
 @dataclass
@@ -43,3 +54,15 @@ def build_baseline(model_df: DataFrame, terrain: DataFrame, order_cols: list[str
         terrain=lookups.terrain_lookup(model_df, terrain, list(order_cols)),
         allowed=lookups.allowed_districts(model_df, terrain),
     )
+
+
+def fixture_baseline(spark: SparkSession, sf_dir: str) -> Baseline:
+    """C2 over the derived readings; the median tables are prepared once per application and input."""
+    frame, terrain = fixture_model_frame(spark, sf_dir), fixture.terrain(spark, sf_dir)
+    inputs = fixture_inputs(sf_dir)
+    return Baseline(
+        month=store.once(spark, "month-baseline", inputs, lambda: lookups.month_baseline(frame)),
+        default=store.once(spark, "default-baseline", inputs, lambda: lookups.default_baseline(frame)),
+        terrain=lookups.terrain_lookup(frame, terrain, ["date", "reading_id"]),
+        allowed=lookups.allowed_districts(frame, terrain),
+    )

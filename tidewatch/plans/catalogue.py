@@ -33,7 +33,7 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 QUERY_MODULES = ["q_clean", "q_lookups", "q_scoring", "q_scenarios", "q_windows", "q_splits", "q_metrics",
-                 "q_audit", "q_learn"]
+                 "q_audit", "q_learn", "q_exact"]
 
 
 def load_all() -> None:

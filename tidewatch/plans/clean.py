@@ -28,9 +28,7 @@ class CleanOptions:
     winsor_column: str = "water_area_pct_change"
     quantile_method: str = "exact"
     materialize: bool = True           # write intermediate tables instead of recomputing them
-    scan: str = "auto"                 # "range": ordered scan over range partitions; "window": per-key windows;
-                                       # "auto": range only when the largest key exceeds window_max_rows
-    window_max_rows: int = 5_000_000
+    scan: str = "range"                # ordered scan over range partitions; "window": plain per-key windows
 
     def __post_init__(self):
         if self.bounds is None:
@@ -86,12 +84,7 @@ def clean_readings(df: DataFrame, opts: CleanOptions | None = None) -> DataFrame
         "_monsoon_rain": rules.seasonal_rain("is_monsoon", "precipitation"),
     })
     lag_sources = [c for c in fixed.LAG_COLUMNS if c in out.columns]
-    scan = opts.scan
-    if scan == "auto":
-        # measured skew decides: a key small enough for one task keeps the plain windows
-        largest = out.groupBy(opts.entity).count().agg(F.max("count")).first()[0] or 0
-        scan = "range" if largest > opts.window_max_rows else "window"
-    if scan == "range":
+    if opts.scan == "range":
         out = timeseries.ordered_scan(out, [opts.entity], order, lag_sources,
                                       [("_monsoon_rain", ["year"], "monsoon_cumulative_precip")])
     else:

@@ -139,16 +139,16 @@ cte("impact_raw", [], """
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   GROUP BY n_nationkey, r_name""")
 
-cte("district_region", [], "SELECT r_name AS district, r_name AS region FROM region WHERE r_regionkey <> 4")
-
-cte("region_divisor", [], """
+# the "_part" tables lack one region each: q_population_at_risk shows the defaults
+for _suffix, _lacks in (("", ("", "", "")), ("_part", tuple(f" WHERE r_regionkey <> {k}" for k in (4, 3, 0)))):
+    cte(f"district_region{_suffix}", [], f"SELECT r_name AS district, r_name AS region FROM region{_lacks[0]}")
+    cte(f"region_divisor{_suffix}", [], f"""
   SELECT r_name AS region, CASE WHEN r_regionkey % 2 = 0 THEN 2 ELSE 1 END AS divisor
-  FROM region WHERE r_regionkey <> 3""")
-
-cte("risk_profile", [], """
+  FROM region{_lacks[1]}""")
+    cte(f"risk_profile{_suffix}", [], f"""
   SELECT r_name AS district, 0.55 + CAST(r_regionkey AS DOUBLE) * 0.1 AS exposure_factor,
          0.05 + CAST(r_regionkey AS DOUBLE) * 0.01 AS max_exposed_share
-  FROM region WHERE r_regionkey <> 0""")
+  FROM region{_lacks[2]}""")
 
 cte("reports", ["evr"], """
   SELECT reading_id AS report_id,
@@ -487,10 +487,15 @@ cte("s_aug", ["raw", "s_rows"], f"""
 cte("c4_target", ["rawp"], f"""
   SELECT d AS tdate, reading_id AS tseq, p AS tprec FROM rawp WHERE district = '{FAULTY_DISTRICT}' AND d IS NOT NULL
   ORDER BY d DESC, reading_id DESC LIMIT 1""")
-cte("c4_donors", ["donorval", "knn"], f"""
-  SELECT k.rank, k.neighbour AS donor, v.precipitation AS value FROM knn k
-  LEFT JOIN donorval v ON v.target = k.target AND v.donor = k.neighbour WHERE k.target = '{FAULTY_DISTRICT}'""")
-cte("c4_fallback", ["rawp"], "SELECT coalesce(median(p), 0.0) AS fb FROM rawp")
+cte("rain_known", ["rawp"], "SELECT reading_id, district, d, p FROM rawp WHERE p IS NOT NULL AND p <> -999")
+cte("c4_donors", ["knn", "tdate", "rain_known"], f"""
+  SELECT k.rank, k.neighbour AS donor, v.p AS value FROM knn k LEFT JOIN (
+    SELECT knn.target, knn.neighbour AS donor, r.p, row_number() OVER (PARTITION BY knn.target, knn.neighbour
+             ORDER BY abs(date_diff('day', tdate.target_date, r.d)),
+                      CASE WHEN r.d = tdate.target_date THEN -r.reading_id ELSE r.reading_id END) AS rn
+    FROM knn JOIN tdate ON knn.target = tdate.target JOIN rain_known r ON r.district = knn.neighbour
+    WHERE r.d IS NOT NULL) v ON v.rn = 1 AND v.target = k.target AND v.donor = k.neighbour WHERE k.target = '{FAULTY_DISTRICT}'""")
+cte("c4_fallback", ["rain_known"], "SELECT coalesce(median(p), 0.0) AS fb FROM rain_known")
 cte("c4_audit", ["c4_target", "c4_donors", "c4_fallback"], f"""
   SELECT '{FAULTY_DISTRICT}' AS faulty_district, {mdy_sql('tdate')} AS faulty_date, tprec AS original_precipitation,
          (coalesce(v1, v2, fb) + CASE WHEN v1 IS NOT NULL THEN coalesce(v2, fb) ELSE fb END) / 2 AS imputed, d1, d2,

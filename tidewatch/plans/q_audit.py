@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import audit
 from tidewatch.plans import baseline, clean
 from tidewatch.plans.catalogue import register, round_doubles
-from tidewatch.plans.oracle import _num, cte, statement
+from tidewatch.plans.oracle import cte, statement
 from tidewatch.sources import fixture
 
 CORR_COLS = ["elevation", "evaporation", "latitude", "longitude", "precipitation", "pressure", "soil_moisture",
@@ -38,7 +38,7 @@ def q_target_correlation(spark, sf):
 SELECT CAST(count(*) - count(DISTINCT (district, date)) AS BIGINT) AS duplicate_keys FROM clean""", "clean"))
 def q_duplicate_keys(spark, sf):
     """Rows repeating an earlier (district, date) after cleaning."""
-    return audit.duplicate_keys(clean.clean_readings(fixture.readings(spark, sf)), ["district", "date"])
+    return audit.duplicate_keys(baseline.fixture_clean(spark, sf), ["district", "date"])
 
 
 @register("q_label_rate", statement("SELECT round(avg(CAST(flood_event AS DOUBLE)), 6) AS label_rate FROM model",
@@ -87,7 +87,7 @@ FROM (SELECT CAST(count(*) AS BIGINT) AS rows_before,
 def q_leakage_summary(spark, sf):
     """C9 data-quality block: cleaning counters, duplicate keys after cleaning, label rate."""
     raw = fixture.readings(spark, sf)
-    cleaned = clean.clean_readings(raw)
+    cleaned = baseline.fixture_clean(spark, sf)
     model_df = baseline.fixture_model_frame(spark, sf)
     out = clean.quality_counters(raw).crossJoin(
         audit.duplicate_keys(cleaned, ["district", "date"]).select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import rules
 from tidewatch.operators import quality, quantiles
-from tidewatch.plans import clean
+from tidewatch.plans import baseline, clean
 from tidewatch.plans.catalogue import register, round_doubles
 from tidewatch.plans.oracle import _num, statement
 from tidewatch.sources import fixture
@@ -132,7 +132,7 @@ SELECT reading_id, district, year, round(monsoon_cumulative_precip, 6) AS monsoo
                                      "clean"))
 def q_running_sum(spark, sf):
     """In-season rain accumulated per (district, year) in date order."""
-    out = clean.clean_readings(fixture.readings(spark, sf))
+    out = baseline.fixture_clean(spark, sf)
     return round_doubles(out.select("reading_id", "district", "year", "monsoon_cumulative_precip"))
 
 
@@ -143,7 +143,7 @@ SELECT reading_id, round(water_area_km2_lag1, 6) AS water_area_km2_lag1,
 FROM clean""", "clean"))
 def q_lag_fill(spark, sf):
     """W2 + A4: previous-row water values per district, gaps filled with global medians."""
-    out = clean.clean_readings(fixture.readings(spark, sf))
+    out = baseline.fixture_clean(spark, sf)
     return round_doubles(out.select("reading_id", "water_area_km2_lag1", "water_area_change_lag1",
                                     "water_area_pct_change_lag1"))
 
@@ -172,9 +172,8 @@ _FRAME_DROP = ["flood_event", "date", "elevation", "latitude", "longitude", "wat
                                                     "day_of_year", "is_monsoon")) + ") FROM model)", "model"))
 def q_feature_frame(spark, sf):
     """P7 + P14: forbidden and leakage-prone columns dropped, target as an INT label."""
-    from tidewatch.plans import baseline as _b
 
-    df = _b.fixture_model_frame(spark, sf).select(*CLEAN_COLS)
+    df = baseline.fixture_model_frame(spark, sf).select(*CLEAN_COLS)
     out = quality.feature_target_frame(df, extra_drop=["water_area_km2", "water_area_change",
                                                        "water_area_pct_change", "ds_idx"])
     return round_doubles(out)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import rules
-from tidewatch.operators import lookups, quality, timeseries
-from tidewatch.plans import baseline, clean
+from tidewatch.operators import lookups
+from tidewatch.plans import baseline
 from tidewatch.plans.catalogue import register, round_doubles
 from tidewatch.plans.oracle import BASE_COLS, MONTH_BASE_COLS, statement
 from tidewatch.sources import fixture
@@ -92,16 +92,16 @@ FROM (
               ELSE 'Critical' END AS level,
          greatest(r.score, 1 - r.score) * 100 AS conf,
          p.affected_population AS pop, v.divisor, f.exposure_factor AS ef, f.max_exposed_share AS ms
-  FROM reports r LEFT JOIN district_region dr ON r.district = dr.district
+  FROM reports r LEFT JOIN district_region_part dr ON r.district = dr.district
   LEFT JOIN popn p ON dr.region = p.region
-  LEFT JOIN region_divisor v ON dr.region = v.region
-  LEFT JOIN risk_profile f ON r.district = f.district)""",
-    "reports", "district_region", "popn", "region_divisor", "risk_profile"))
+  LEFT JOIN region_divisor_part v ON dr.region = v.region
+  LEFT JOIN risk_profile_part f ON r.district = f.district)""",
+    "reports", "district_region_part", "popn", "region_divisor_part", "risk_profile_part"))
 def q_population_at_risk(spark, sf):
     """J5 + F6: people at risk per report from the regional figure, divisor and profile."""
     reports = fixture.field_reports(spark, sf)
-    df = lookups.with_exposure(reports, fixture.district_regions(spark, sf), fixture.region_divisors(spark, sf),
-                               fixture.risk_profiles(spark, sf),
+    df = lookups.with_exposure(reports, fixture.district_regions(spark, sf, whole=False), fixture.region_divisors(spark, sf, whole=False),
+                               fixture.risk_profiles(spark, sf, whole=False),
                                lookups.region_population(fixture.impact_reports(spark, sf)))
     df = df.withColumns({"level": rules.risk_band("score"), "confidence_pct": rules.confidence_pct("score")})
     df = df.withColumn("population_risk_estimate", rules.people_at_risk(

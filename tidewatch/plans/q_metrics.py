@@ -89,11 +89,10 @@ SELECT round(avg(accuracy), 6) AS accuracy, round(avg(precision), 6) AS precisio
        round(avg(f1), 6) AS f1, round(avg(roc_auc), 6) AS roc_auc,
        CAST(round_even(avg(tn), 0) AS BIGINT) AS tn, CAST(round_even(avg(fp), 0) AS BIGINT) AS fp,
        CAST(round_even(avg(fn), 0) AS BIGINT) AS fn, CAST(round_even(avg(tp), 0) AS BIGINT) AS tp
-FROM m_eval WHERE fold < 3""", "m_eval"))
+FROM m_eval""", "m_eval"))
 def q_fold_average(spark, sf):
-    """Fold metrics averaged (folds 0-2), confusion cells rounded half-to-even."""
-    per = metrics.evaluate(_pairs(spark, sf), groups=["fold"]).where(F.col("fold") < 3)
-    return round_doubles(metrics.fold_average(per))
+    """Fold metrics averaged, confusion cells rounded half-to-even."""
+    return round_doubles(metrics.fold_average(metrics.evaluate(_pairs(spark, sf), groups=["fold"])))
 
 
 cte("m_pairs2", ["pairs"], """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import rules
-from tidewatch.operators import alerts, lookups
+from tidewatch.operators import lookups
 from tidewatch.plans import baseline, scoring
 from tidewatch.plans.catalogue import register, round_doubles
 from tidewatch.plans.oracle import band_sql, case_map, guard_sql, statement
@@ -15,7 +15,7 @@ from tidewatch.sources import fixture
 def fixture_context(spark, sf):
     """Baseline tables and exposure dimensions derived from the driver's tables."""
     model_df = baseline.fixture_model_frame(spark, sf)
-    base = baseline.build_baseline(model_df, fixture.terrain(spark, sf))
+    base = baseline.fixture_baseline(spark, sf)
     exposure = scoring.Exposure(fixture.district_regions(spark, sf), fixture.region_divisors(spark, sf),
                                 fixture.risk_profiles(spark, sf),
                                 lookups.region_population(fixture.impact_reports(spark, sf)))

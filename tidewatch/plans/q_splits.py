@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import splits
-from tidewatch.plans import clean
+from tidewatch.plans import baseline
 from tidewatch.plans.catalogue import register
 from tidewatch.plans.oracle import statement
-from tidewatch.sources import fixture
 
 ORDER = ["date", "reading_id"]
 
 
 def _clean(spark, sf):
-    return clean.clean_readings(fixture.readings(spark, sf)).select("reading_id", "date", "year", "flood_event")
+    return baseline.fixture_clean(spark, sf).select("reading_id", "date", "year", "flood_event")
 
 
 @register("q_chrono_split", statement("""

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from tidewatch.operators import timeseries
-from tidewatch.plans import clean
+from tidewatch.plans import baseline
 from tidewatch.plans.catalogue import register, round_doubles
 from tidewatch.plans.oracle import statement
-from tidewatch.sources import fixture
 
 ORDER = ["date", "reading_id"]
 
 
 def _clean(spark, sf):
-    return clean.clean_readings(fixture.readings(spark, sf)).select(
+    return baseline.fixture_clean(spark, sf).select(
         "station", "reading_id", "date", "precipitation", "soil_moisture")
 
 

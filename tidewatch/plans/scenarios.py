@@ -77,14 +77,18 @@ def surge(raw: DataFrame, districts: list[str] = tuple(fixed.SURGE_DEFAULT_DISTR
 
 def impute_faulty_sensor(raw: DataFrame, district: str = fixed.IMPUTE_DEFAULT_DISTRICT,
                          seq_col: str = "reading_id", date_col: str = "date",
-                         donors: int = fixed.IMPUTE_DONORS) -> tuple[DataFrame, DataFrame | None]:
+                         donors: int = fixed.IMPUTE_DONORS,
+                         keep_sentinels: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """C4: (updated table, one-row audit) or (table unchanged, None) when impossible.
 
     Target: the district's latest valid-date row.  Donors: the two nearest other
     districts by centroid (ties by name).  Each donor gives its rain on the
     target date (last in row order) or nearest in time; missing donors are the
-    global median rain (0 if none).  Rolling rain columns are blended.
+    global median rain (0 if none).  Rolling rain columns are blended.  The
+    sentinel rain value is missing, unless ``keep_sentinels`` takes it literally.
     """
+    rain = rules.to_number("precipitation")
+    rain = rain if keep_sentinels else rules.sentinel_to_null(rain)
     types = dict(raw.dtypes)
     parsed = raw.withColumn("_d", rules.parse_date(date_col))
     target = parsed.where((F.col("district") == district) & F.col("_d").isNotNull()) \
@@ -100,12 +104,12 @@ def impute_faulty_sensor(raw: DataFrame, district: str = fixed.IMPUTE_DEFAULT_DI
     nn = sorted(nn, key=lambda r: r["rank"])
     targets = raw.sparkSession.createDataFrame(
         [(district, r["neighbour"], tdate) for r in nn], "target string, donor string, target_date date")
-    rows = parsed.select("district", seq_col, F.col("_d"), rules.to_number("precipitation").alias("precipitation"))
+    rows = parsed.select("district", seq_col, F.col("_d"), rain.alias("precipitation"))
     vals = {r["donor"]: r["precipitation"] for r in
             lookups.nearest_in_time(rows, targets, "district", "_d", "precipitation", seq_col).collect()}
     values = [vals[r["neighbour"]] for r in nn if r["neighbour"] in vals]
     if len(values) < donors:
-        fallback = lookups.global_median_or(raw, "precipitation").first()["fallback"]
+        fallback = lookups.global_median_or(raw.select(rain.alias("precipitation")), "precipitation").first()["fallback"]
         values += [fallback] * (donors - len(values))
     imputed = float(sum(values[:donors]) / donors)
 

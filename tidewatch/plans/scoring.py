@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed, rules
@@ -151,25 +151,41 @@ def score_reports(reports: DataFrame, base: Baseline, exposure: Exposure, probab
                       *[F.when(ok, F.col(c)).alias(c) for c in result_cols])
 
 
+MAX_FANOUT = 100_000   # districts an alert fan-out accepts
+
+
 # --- C6: regional alerts ---------------------------------------------------------------------
 
 def alert_fanout(conditions: DataFrame, districts: DataFrame, base: Baseline, exposure: Exposure,
                  probability: Column | None = None, model=None, cond_id: str = "report_id",
                  focus: str = "district") -> DataFrame:
     """J8 + C5 + U4: every known district scored under each condition set, the focus
-    district left out, keeping valid High / Critical results (normalised, trimmed)."""
-    dims = joins.checked_dimension(districts.select(F.col("district").alias("_fan")).distinct(), ["_fan"])
-    conds = conditions.select(cond_id, F.col(focus).alias("_focus"), "rainfall_mm", "selected_date",
-                              "soil_condition", "visible_water")
-    # fan-out to a size-checked district dimension, leaving out the focus district
-    fan = conds.join(dims, ~F.col("_fan").eqNullSafe(F.col("_focus")), "inner").withColumnRenamed("_fan", "district")
+    district left out, keeping valid High / Critical results (normalised, trimmed).
+
+    Distinct condition sets are scored once; only alerts are joined back to the
+    reports that share the conditions.
+    """
+    given = ["rainfall_mm", "selected_date", "soil_condition", "visible_water"]
+    # one row: the district names as an array, refused beyond a bound; every distinct condition set explodes it
+    names = districts.agg(F.array_sort(F.collect_set("district")).alias("_names"))
+    names = names.select(F.when(F.size("_names") <= MAX_FANOUT, F.col("_names")).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_FANOUT} districts to fan out to"))).alias("_names"))
+    fan = conditions.select(*given).distinct().crossJoin(F.broadcast(names)) \
+        .select(*given, F.explode("_names").alias("district"))
     scored = score_reports(fan, base, exposure, probability, model)
     level = rules.normalize_risk("risk_level_en")
-    kept = scored.where(F.col("ok") & level.isin("High", "Critical"))
-    return kept.select(cond_id, "district", level.alias("risk_level_en"),
-                       rules.unicode_trim("risk_level_ur").alias("risk_level_ur"),
-                       rules.unicode_trim("recommended_action_en").alias("recommended_action_en"),
-                       rules.unicode_trim("recommended_action_ur").alias("recommended_action_ur"))
+    alerts_ = scored.where(F.col("ok") & level.isin("High", "Critical")).select(
+        *[F.col(c).alias(f"_{c}") for c in given], F.col("district").alias("_fan"), level.alias("risk_level_en"),
+        rules.unicode_trim("risk_level_ur").alias("risk_level_ur"),
+        rules.unicode_trim("recommended_action_en").alias("recommended_action_en"),
+        rules.unicode_trim("recommended_action_ur").alias("recommended_action_ur"))
+    same = F.lit(True)
+    for c in given:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    back = conditions.select(cond_id, F.col(focus).alias("_focus"), *given).join(alerts_, same) \
+        .where(~F.col("_fan").eqNullSafe(F.col("_focus")))
+    return back.select(cond_id, F.col("_fan").alias("district"), "risk_level_en", "risk_level_ur",
+                       "recommended_action_en", "recommended_action_ur")
 
 
 def regional_alerts(conditions: DataFrame, districts: DataFrame, base: Baseline, exposure: Exposure,
@@ -240,7 +256,3 @@ def next_day_after(df: DataFrame, date_col: str = "date", default: str = fixed.S
     """A11 + F12: the day after the latest date (or after ``default``) as a scalar subquery column."""
     last = df.agg(F.coalesce(F.max(date_col), F.lit(default).cast("date")).alias("_last"))
     return F.date_add(F.lit(last.first()["_last"]), 1)
-
-
-def alert_window(cond_id: str) -> Window:
-    return Window.partitionBy(cond_id)

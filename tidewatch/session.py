@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "tidewatch") -> SparkSession:
+                  app_name: str = "tidewatch", checkpoint_dir: str | None = None) -> SparkSession:
     """Create (or reuse) a session with AQE on and the web UI off.
 
     On a cluster leave ``master`` and ``shuffle_partitions`` unset: the cluster
     manager and AQE's partition coalescing decide.  Tests pass ``local[*]`` and 8.
+    ``checkpoint_dir``: a folder that all executors share.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -29,47 +28,51 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-_LOCAL_DIRS: dict[int, str] = {}
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a private folder created,
-    once per session.
+    Where the session names none, a folder in the session's warehouse, which
+    drivers and executors share as well.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or \
-        _LOCAL_DIRS.get(id(spark.sparkContext))
+        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
-        _LOCAL_DIRS[id(spark.sparkContext)] = path
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
-            pass
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tidewatch/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
     One computation (a reliable RDD checkpoint would compute twice unless cached),
     columnar files that later scans prune, and nothing kept on executors: a lost
-    executor costs a re-read, not a recomputation of the lineage.
+    executor costs a re-read, not a recomputation of the lineage.  The files stay
+    until ``release`` removes those of this application.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "tidewatch", f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A path for an intermediate table under this application's part of the checkpoint folder."""
+    return f"{_own_folder(spark)}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables this application wrote; frames read from them are dead afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -113,7 +113,7 @@ def terrain(spark: SparkSession, sf_dir: str, drop_last: bool = False) -> DataFr
     """Terrain dimension, one row per district (A2).  ``drop_last`` leaves one district out."""
     region = load_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
     if drop_last:
-        region = region.where(F.col("r_regionkey") != 4)
+        region = region.where(F.lit(whole) | (F.col("r_regionkey") != 4))
     return region.select(
         F.col("r_name").alias("district"),
         (F.lit(57.0) + F.col("r_regionkey").cast("double") * 100).alias("avg_elevation_m"),
@@ -137,26 +137,26 @@ def impact_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def district_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """District -> region map for the derived districts; one district stays unmapped."""
+def district_regions(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """District -> region map for the derived districts; one district stays unmapped unless ``whole``."""
     region = load_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    return region.where(F.col("r_regionkey") != 4).select(
+    return region.where(F.lit(whole) | (F.col("r_regionkey") != 4)).select(
         F.col("r_name").alias("district"), F.col("r_name").alias("region"))
 
 
-def region_divisors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Districts per region used to split regional population; one region left to the default."""
+def region_divisors(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """Districts per region used to split regional population; one region left to the default unless ``whole``."""
     region = load_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    return region.where(F.col("r_regionkey") != 3).select(
+    return region.where(F.lit(whole) | (F.col("r_regionkey") != 3)).select(
         F.col("r_name").alias("region"),
         F.when(F.col("r_regionkey") % 2 == 0, 2).otherwise(1).alias("divisor"))
 
 
-def risk_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exposure profile per district; one district left to the default profile."""
+def risk_profiles(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """Exposure profile per district; one district left to the default profile unless ``whole``."""
     region = load_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
     k = F.col("r_regionkey").cast("double")
-    return region.where(F.col("r_regionkey") != 0).select(
+    return region.where(F.lit(whole) | (F.col("r_regionkey") != 0)).select(
         F.col("r_name").alias("district"),
         (F.lit(0.55) + k * 0.1).alias("exposure_factor"),
         (F.lit(0.05) + k * 0.01).alias("max_exposed_share"))

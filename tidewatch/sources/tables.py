@@ -11,6 +11,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tidewatch.sources import store
 from pyspark.sql import types as T
 
 
@@ -60,11 +62,14 @@ def write_document(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_json_file(payload: dict, path: str) -> None:
-    """S4 for driver-side summaries that are already bounded (metrics, choices)."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as handle:
-        json.dump(payload, handle, indent=2, ensure_ascii=False, default=str)
+def write_json_file(spark: SparkSession, payload: dict, path: str) -> None:
+    """S4 for driver-side summaries that are already bounded (metrics, choices): one file, on any file system."""
+    fs, p = store._path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(json.dumps(payload, indent=2, ensure_ascii=False, default=str).encode("utf-8")))
+    finally:
+        out.close()
 
 
 def save_model(model, path: str) -> None:
@@ -80,6 +85,6 @@ def load_artifacts(spark: SparkSession, artifacts_dir: str):
     tables = {
         name: spark.read.parquet(os.path.join(artifacts_dir, name))
         for name in ("month_baseline", "default_baseline", "terrain_lookup", "region_population", "allowed_districts")
-        if os.path.exists(os.path.join(artifacts_dir, name))
+        if store.exists(spark, os.path.join(artifacts_dir, name))
     }
     return model, tables
