@@ -144,6 +144,20 @@ def test_main_text(page):
     assert PAGES[page] is None or got == PAGES[page]
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<!-- ", "&", "<", "</", "<div>", "<p>x", '<a href="', "<b>x</p>", "<![CDATA["])
+def test_awkward_pages_take_linear_time(piece):
+    import time
+
+    for tail in ("", ">", "<p>end</p>"):
+        began = time.process_time()
+        html.extract_text(piece * 30_000 + tail)
+        assert time.process_time() - began < 5
+
+
+def test_layout_words_do_not_hide_content():
+    assert html.extract_text("<body class='has-sidebar'><div class='no-sidebar page'><p>kept</p></div><div class='sidebar'>gone</div>") == "kept"
+
+
 def test_pages_query_whole_table(spark, sf_dir):
     import html as entities
     import re

@@ -20,6 +20,7 @@ text; unclosed elements end with the page; repeated rows are extracted alike.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -46,6 +47,8 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
          "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related",
          "replies", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar",
          "widget"}
+#: Words that make a class name speak of the layout around the element ("has-sidebar").
+LAYOUT = {"no", "not", "has", "with", "without", "wrapper", "layout", "container"}
 #: A start of the key ends an open element of the value (end tags that pages leave out).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
@@ -64,8 +67,11 @@ def _boilerplate(tag: str, attrs: list) -> bool:
             return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and WORDS & set(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-            return True
+        if name in ("class", "id"):
+            for part in value.split():
+                words = set(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower()))
+                if WORDS & words and not LAYOUT & words:
+                    return True
     return False
 
 
@@ -75,6 +81,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, bool]] = []  # tag, skipped, region, within
+        self.names: Counter = Counter()  # of the open tags
         self.skipped, self.region, self.within, self.regions = 0, 0, False, 0
         self.lines: list[list] = [[[], 0, 0, False]]
 
@@ -99,6 +106,7 @@ class Lines(HTMLParser):
             return
         skip = _boilerplate(tag, attrs)
         self.open.append((tag, skip, self.region, self.within))
+        self.names[tag] += 1
         if skip:
             if not self.skipped and tag in INLINE:
                 self.lines[-1][0].append(" ")
@@ -119,13 +127,14 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if not self.skipped:
             self.lines[-1][1] += 1
-        if not any(t == tag for t, *_ in reversed(self.open)):
+        if not self.names[tag]:
             return
         while self._pop() != tag:
             pass
 
     def _pop(self) -> str:
         tag, skip, region, within = self.open.pop()
+        self.names[tag] -= 1
         if skip:
             self.skipped -= 1
         self.region, self.within = region, within
@@ -138,11 +147,21 @@ class Lines(HTMLParser):
             self.lines[-1][0].append(data)
 
 
+_OPENS = re.compile(r"<[a-zA-Z/!?]")
+
+
+def _closed(html: str) -> str:
+    """The page without a tag that its end cuts off (nothing after the last ``>`` can be one)."""
+    last = html.rfind(">") + 1
+    cut = _OPENS.search(html, last)
+    return html[:cut.start()] if cut else html
+
+
 def extract_text(html: str, sigma: float = 1.0) -> str:
     import numpy as np
 
     parser = Lines()
-    parser.feed(html)
+    parser.feed(_closed(html))
     parser.close()
     lines = [(" ".join("".join(parts).split()), tags, region, within) for parts, tags, region, within in parser.lines]
     lines = [x for x in lines if x[0]]
