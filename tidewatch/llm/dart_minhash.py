@@ -10,7 +10,8 @@ of their weighted Jaccard likeness.
 Texts that share a band of coordinates meet in a bucket; each bucket links its
 members to pivots, every link is verified on the whole texts, and verified links
 are united.  Members of one bucket that are still in different classes after the
-pivot rounds are compared with each other, so no link is lost to the pivots.
+pivot rounds are joined exactly on their rarest shingles, so no link is lost to
+the pivots.
 
 Defined cases: words are lower-cased runs between white space; a text of one to
 four words is one shingle; null texts and texts without a word link with
@@ -23,13 +24,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.session import cut_lineage
 
-from .common import components, ship
+from .common import batch_rows, components, ship
 
 ship(__name__)
 
@@ -156,9 +157,8 @@ def likeness(a, b) -> float:
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 20, rows: int = 4,
                words: int = 5) -> DataFrame:
-    """(id, key, size, coords, bands): text digest, shingle count, signature bytes, one hash per band.
+    """(id, key, size, bands): text digest, shingle count, one hash per band.
 
-    ``coords`` keeps one byte of each coordinate, enough to estimate a likeness.
     Rows with a null id or without a word are left out.
     """
     k = bands * rows
@@ -178,22 +178,71 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ids.append(doc)
                     sets.append(found)
                     keys.append(hashlib.blake2b(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            sizes, coords, hashes = [int(w.sum()) for _, w in sets], [], []
+            sizes, hashes = [int(w.sum()) for _, w in sets], []
             for a, b in in_blocks(sets):
                 sig = dart_signatures(sets[a:b], k)
                 h = np.broadcast_to(salt, (b - a, bands))
                 for j in range(rows):
                     h = _mix(h * np.uint64(MIX[0]) + sig[:, j::rows])
-                coords.extend(x.tobytes() for x in (sig >> np.uint64(56)).astype(np.uint8))
                 hashes.extend(h.astype(np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(coords, pa.binary()),
-                    pa.array(hashes, pa.list_(pa.int64()))], names=["id", "key", "size", "coords", "bands"])
+                    pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
+                    pa.array(hashes, pa.list_(pa.int64()))], names=["id", "key", "size", "bands"])
 
     src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id long, key binary, size long, coords binary, bands array<long>")
+    return src.mapInArrow(run, "id long, key binary, size long, bands array<long>")
+
+
+def rare_shingle_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float,
+                       words: int = 5) -> DataFrame:
+    """(a, b) pairs of members (id, class) of different classes that can reach the likeness.
+
+    Two texts of at least that likeness share ``threshold`` of either's shingles,
+    so, with all texts' shingles in one order, they share one of the first
+    ``size - ceil(threshold * size) + 1`` of each.  The order is by rising number
+    of members that hold a shingle: passages that many texts share come last, and
+    a text with enough shingles of its own has no partner at all.  At the first
+    shingle that two texts share, what is left of either bounds what they can
+    have in common; a shared shingle later than that bound allows gives no pair.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null") \
+        .join(members, "id")
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        shingles = Shingles(words)
+        for batch in batches:
+            for doc, group, text in zip(batch.column("id").to_pylist(), batch.column("class").to_pylist(), batch.column("text")):
+                h, n = shingles(text.as_py())
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(h), doc)), pa.array(np.full(len(h), group)), pa.array(np.full(len(h), n.sum())),
+                        pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["id", "class", "size", "h", "n"])
+
+    with batch_rows(docs.sparkSession, 1000):
+        held = cut_lineage(texts.select("id", "class", "text").mapInArrow(cut, "id long, class long, size long, h long, n long"), "shingles")
+    common = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
+    shared = held.join(common, "h")
+    alone = held.groupBy("id").agg(F.sum("n").alias("all_n"))
+    here = shared.groupBy("id").agg(F.sum("n").alias("shared_n"))
+    room = alone.join(here, "id").select(F.col("id").alias("_id"), (F.col("all_n") - F.col("shared_n")).alias("first"))
+    # shingles of one holder come first; the rest is counted on from them
+    w = Window.partitionBy("id").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = shared.join(room, shared.id == room["_id"]).where(F.col("first") < own) \
+        .withColumn("before", F.col("first") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    prefix = cut_lineage(ranked.where(F.col("before") < own).select("id", "class", "size", "h", "before"), "prefixes")
+    x = prefix.select("h", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "class", "before")])
+    y = prefix.select("h", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "class", "before")])
+    low = F.lit(threshold)
+    return x.join(y, "h").where("id_a < id_b and class_a <> class_b") \
+        .where(F.least("size_a", "size_b") >= low * F.greatest("size_a", "size_b")) \
+        .where(F.least(F.col("size_a") - F.col("before_a"), F.col("size_b") - F.col("before_b")) + 1e-6
+               >= low / (1 + low) * (F.col("size_a") + F.col("size_b"))) \
+        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, words: int = 5,
@@ -236,14 +285,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``links`` counts the verified links of an id's text.  In each pivot round a
     bucket has one pivot (the member of lowest rank for that round), so links
-    grow with the members.  What is then compared inside a bucket are members of
-    different classes with sizes and signatures that allow the likeness (bounds
-    8 standard deviations wide), dealt by blocks of the bucket's members.
+    grow with the members.
     """
-    sig = cut_lineage(signatures(docs, id_col, text_col, bands, rows, words), "signatures")
+    spark = docs.sparkSession
+    with batch_rows(spark, 1000):
+        sig = cut_lineage(signatures(docs, id_col, text_col, bands, rows, words), "signatures")
     groups = cut_lineage(sig.groupBy("key").agg(F.min("id").alias("rep")), "texts")
     reps = sig.join(groups, (sig.key == groups.key) & (sig.id == groups.rep), "left_semi").dropDuplicates(["id", "key"])
-    member = reps.select("id", "size", "coords", F.explode("bands").alias("bucket"))
+    member = reps.select("id", "size", F.explode("bands").alias("bucket"))
     crowd = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     member = cut_lineage(member.join(crowd, "bucket"), "buckets")
     low = F.lit(threshold)
@@ -258,30 +307,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, "pairs")
-        good = cut_lineage(verify(pairs, docs, id_col, text_col, threshold, words), "links")
+        with batch_rows(spark, 200):
+            good = cut_lineage(verify(pairs, docs, id_col, text_col, threshold, words), "links")
         tried = pairs if tried is None else tried.union(pairs)
         links = good if links is None else links.union(good)
 
-    # members of one bucket in different classes: block against block, bounds from sizes and signatures
+    # members of one bucket that are still in different classes: exact join on rare shingles
     classes = components(links, "a", "b")
-    placed = member.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    placed = member.select("id", "bucket").join(classes, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("class"))
     split = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-    placed = cut_lineage(placed.join(split, "bucket"), "unsettled")
-    k = bands * rows
-
-    @F.pandas_udf("int")
-    def agree(one: pd.Series, other: pd.Series) -> pd.Series:
-        grid = lambda part: np.frombuffer(b"".join(part), dtype=np.uint8).reshape(-1, k)
-        return pd.Series((grid(one) == grid(other)).sum(axis=1), dtype="int32")
-
-    x = placed.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "class", "coords")])
-    y = placed.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "class", "coords")])
-    cross = x.join(y, "bucket").where("id_a < id_b and class_a <> class_b") \
-        .where(F.least("size_a", "size_b") >= low * F.greatest("size_a", "size_b"))
-    least = int(k * threshold - 8 * (k * threshold * (1 - threshold)) ** 0.5)
-    cross = cross.where(agree("coords_a", "coords_b") >= least).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    cross = cross.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = cut_lineage(verify(cut_lineage(cross, "pairs"), docs, id_col, text_col, threshold, words), "links")
+    unsettled = cut_lineage(placed.join(split, "bucket").select("id", "class").distinct(), "unsettled")
+    rest = rare_shingle_pairs(docs, unsettled, id_col, text_col, threshold, words)
+    rest = rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    rest = cut_lineage(rest, "pairs")
+    with batch_rows(spark, 200):
+        more = cut_lineage(verify(rest, docs, id_col, text_col, threshold, words), "links")
     links = links.union(more)
     classes = components(links, "a", "b")
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
