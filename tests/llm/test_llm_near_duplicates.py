@@ -150,3 +150,23 @@ def test_graph_recall():
     found = set(zip(r.tolist(), c.tolist()))
     true = set(zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.93))))
     assert len(found & true) >= 0.999 * len(true) and widths == sorted(widths)
+
+
+def test_repeated_rows_in_a_large_unsettled_bucket(spark):
+    rows, number = [], itertools.count()
+    passage = [f"c{i}" for i in range(89)]  # every text shares 85 shingles with every other: buckets of about a hundred
+
+    def text(shared):  # 100 shingles
+        return " ".join(passage + shared + [f"o{next(number)}" for _ in range(15 - len(shared))])
+
+    for _ in range(300):
+        rows.append((len(rows), text([])))
+    for g in range(12):  # pairs of likeness 90 / 110, the first of each with its row repeated
+        shared = [f"s{g}-{i}" for i in range(5)]
+        rows += [(len(rows), text(shared)), (len(rows) + 1, text(shared))]
+    docs = dict(rows)
+    assert brute_links({i: docs[i] for i in range(298, 304)}) == [(300, 301), (302, 303)]
+    rows += rows[300::2]
+    got = {r.id: r for r in dm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.component for i, r in got.items()} == {i: i - (i > 300 and i % 2) for i in docs}
+    assert {i: r.links for i, r in got.items()} == {i: int(i >= 300) for i in docs}

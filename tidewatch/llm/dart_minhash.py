@@ -34,6 +34,9 @@ from .common import batch_rows, components, ship
 
 ship(__name__)
 
+#: A member is one row of its text: the document's id and a hash of the text as it stands.
+MEMBER = "struct<doc:bigint,row:bigint>"
+
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -155,9 +158,21 @@ def likeness(a, b) -> float:
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
+def _member(id_col: str, text_col: str):
+    """The (doc, row) struct of a document row."""
+    return F.struct(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("row"))
+
+
+def member_texts(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): one row for each of the ``members`` (id), however often the table repeats it."""
+    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()) \
+        .select(_member(id_col, text_col).alias("id"), F.col(text_col).alias("text")) \
+        .join(members, "id", "left_semi").dropDuplicates(["id"])
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 20, rows: int = 4,
                words: int = 5) -> DataFrame:
-    """(id, key, size, bands): text digest, shingle count, one hash per band.
+    """(id, key, size, bands): member, text digest, shingle count, one hash per band.
 
     Rows with a null id or without a word are left out.
     """
@@ -171,11 +186,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shingles = Shingles(words)
         salt = _mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            ids, keys, sets = [], [], []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            at, keys, sets = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 found = shingles(text)
                 if len(found[0]):
-                    ids.append(doc)
+                    at.append(i)
                     sets.append(found)
                     keys.append(hashlib.blake2b(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest())
             sizes, hashes = [int(w.sum()) for _, w in sets], []
@@ -185,14 +200,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for j in range(rows):
                     h = _mix(h * np.uint64(MIX[0]) + sig[:, j::rows])
                 hashes.extend(h.astype(np.int64))
-            if ids:
+            if at:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
+                    batch.column("id").take(pa.array(at)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
                     pa.array(hashes, pa.list_(pa.int64()))], names=["id", "key", "size", "bands"])
 
     src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id long, key binary, size long, bands array<long>")
+        _member(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, f"id {MEMBER}, key binary, size long, bands array<long>")
 
 
 def rare_shingle_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float,
@@ -207,34 +222,32 @@ def rare_shingle_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_co
     shingle that two texts share, what is left of either bounds what they can
     have in common; a shared shingle later than that bound allows gives no pair.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null") \
-        .join(members, "id")
+    texts = member_texts(docs, members, id_col, text_col).select("id.doc", "id.row", "text")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         shingles = Shingles(words)
         for batch in batches:
-            for doc, group, text in zip(batch.column("id").to_pylist(), batch.column("class").to_pylist(), batch.column("text")):
+            for doc, row, text in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), batch.column("text")):
                 h, n = shingles(text.as_py())
                 if len(h):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(h), doc)), pa.array(np.full(len(h), group)), pa.array(np.full(len(h), n.sum())),
-                        pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["id", "class", "size", "h", "n"])
+                        pa.array(np.full(len(h), doc)), pa.array(np.full(len(h), row)), pa.array(np.full(len(h), n.sum())),
+                        pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["doc", "row", "size", "h", "n"])
 
     with batch_rows(docs.sparkSession, 1000):
-        held = cut_lineage(texts.select("id", "class", "text").mapInArrow(cut, "id long, class long, size long, h long, n long"), "shingles")
+        held = cut_lineage(texts.mapInArrow(cut, "doc long, row long, size long, h long, n long"), "shingles")
     common = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
     shared = held.join(common, "h")
-    alone = held.groupBy("id").agg(F.sum("n").alias("all_n"))
-    here = shared.groupBy("id").agg(F.sum("n").alias("shared_n"))
-    room = alone.join(here, "id").select(F.col("id").alias("_id"), (F.col("all_n") - F.col("shared_n")).alias("first"))
+    here = shared.groupBy("doc", "row").agg(F.sum("n").alias("shared_n"))
     # shingles of one holder come first; the rest is counted on from them
-    w = Window.partitionBy("id").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = shared.join(room, shared.id == room["_id"]).where(F.col("first") < own) \
+    w = Window.partitionBy("doc", "row").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = shared.join(here, ["doc", "row"]).withColumn("first", F.col("size") - F.col("shared_n")).where(F.col("first") < own) \
         .withColumn("before", F.col("first") + F.coalesce(F.sum("n").over(w), F.lit(0)))
-    prefix = cut_lineage(ranked.where(F.col("before") < own).select("id", "class", "size", "h", "before"), "prefixes")
+    prefix = ranked.where(F.col("before") < own).select(F.struct("doc", "row").alias("id"), "size", "h", "before")
+    prefix = cut_lineage(prefix.join(members, "id"), "prefixes")
     x = prefix.select("h", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "class", "before")])
     y = prefix.select("h", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "class", "before")])
     low = F.lit(threshold)
@@ -249,14 +262,13 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
            fan: int = 200) -> DataFrame:
     """Those (a, b) pairs whose whole texts have at least the likeness.
 
-    Texts are joined to the pairs by id; an id b with many partners is dealt out
-    over copies, one for every ``fan`` partners.
+    Texts are joined to the pairs by member; a member b with many partners is
+    dealt out over copies, one for every ``fan`` partners.
     """
     pairs = pairs.select("a", "b")
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("copies"))
     need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null") \
-        .join(need, "id", "left_semi")
+    texts = member_texts(docs, need, id_col, text_col)
     right = texts.join(many, texts.id == many.b).select("b", F.col("text").alias("text_b"), F.explode(
         F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     left = pairs.join(many, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")) \
@@ -276,7 +288,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
                 keep.append(likeness(shingles(ta.as_py()), seen) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return left.join(right, ["b", "copy"]).select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return left.join(right, ["b", "copy"]).select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {MEMBER}, b {MEMBER}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
@@ -291,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with batch_rows(spark, 1000):
         sig = cut_lineage(signatures(docs, id_col, text_col, bands, rows, words), "signatures")
     groups = cut_lineage(sig.groupBy("key").agg(F.min("id").alias("rep")), "texts")
-    reps = sig.join(groups, (sig.key == groups.key) & (sig.id == groups.rep), "left_semi").dropDuplicates(["id", "key"])
+    reps = sig.join(groups, (sig.key == groups.key) & (sig.id == groups.rep), "left_semi").dropDuplicates(["id"])
     member = reps.select("id", "size", F.explode("bands").alias("bucket"))
     crowd = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     member = cut_lineage(member.join(crowd, "bucket"), "buckets")
@@ -327,8 +339,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     named = groups.join(classes, groups.rep == classes.id, "left").join(degree, groups.rep == degree.id, "left") \
         .select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    return sig.select("id", "key").distinct().join(named, "key").groupBy("id").agg(
-        F.min("component").alias("component"), F.max("links").alias("links"))
+    return sig.select("id.doc", "key").distinct().join(named, "key").groupBy(F.col("doc").alias("id")).agg(
+        F.min("component.doc").alias("component"), F.max("links").alias("links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
