@@ -1,10 +1,11 @@
 """Learning operators on the small tables: shapes and ranges (no digit-level twin exists)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import learn
-from tidewatch.plans import training
-from tidewatch.sources import fixture
+from tidewatch.plans import baseline, q_learn, training
+from tidewatch.sources import fixture, store
 
 TINY = learn.ModelSpec("random_forest", trees=5, max_depth=5)
 
@@ -41,3 +42,25 @@ def test_permutation_depends_on_ids_alone(spark):
     df = spark.range(200).select("id", (F.col("id") % 17).alias("x"))
     one, many = (sorted(tuple(r) for r in learn.permuted(df.repartition(n), "x", 2, id_col="id").collect()) for n in (1, 50))
     assert one == many and sum(x != i % 17 for i, x, _ in one) > 300
+
+
+def test_registered_queries_fit_the_reference_settings(monkeypatch):
+    class Fitted(Exception):
+        pass
+
+    def stop(*args, **_):
+        raise Fitted([s for a in args for s in (a.candidates if isinstance(a, training.TrainOptions) else [a])
+                      if isinstance(s, learn.ModelSpec)])
+
+    monkeypatch.setattr(q_learn, "_frame", lambda *_: None)
+    monkeypatch.setattr(baseline, "fixture_model_frame", lambda *_: None)
+    monkeypatch.setattr(training, "prepare_frame", lambda *_: (None, []))
+    monkeypatch.setattr(store, "once", lambda spark, name, inputs, build: build())
+    for module, name in ((learn, "fit"), (training, "scorecard"), (training, "ablation"), (training, "permutation_report")):
+        monkeypatch.setattr(module, name, stop)
+    forest, boosted = learn.ModelSpec("random_forest", trees=500, max_depth=30), learn.ModelSpec("gradient_boosted", boost_rounds=100, boost_depth=5)
+    for name in ("train_score", "feature_importance", "scorecard", "model_choice", "ablation", "permutation_importance",
+                 "leaderboard", "stress_audit_model", "score_reports_model"):
+        with pytest.raises(Fitted) as found:
+            getattr(q_learn, f"q_{name}")(None, "")
+        assert found.value.args[0] == ([forest, boosted] if name in ("scorecard", "model_choice") else [forest]), name
