@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import learn
-from tidewatch.plans import baseline, q_learn, training
+from tidewatch.plans import baseline, clean, q_audit, q_learn, scenarios, training
+from tidewatch.plans.oracle import FAULTY_DISTRICT, SURGE_DISTRICTS
 from tidewatch.sources import fixture, store
 
 TINY = learn.ModelSpec("random_forest", trees=5, max_depth=5)
@@ -53,7 +54,8 @@ def test_registered_queries_fit_the_reference_settings(monkeypatch):
                       if isinstance(s, learn.ModelSpec)])
 
     monkeypatch.setattr(q_learn, "_frame", lambda *_: None)
-    monkeypatch.setattr(baseline, "fixture_model_frame", lambda *_: None)
+    for name in ("fixture_model_frame", "fixture_audit_frame"):
+        monkeypatch.setattr(baseline, name, lambda *_: None, raising=False)
     monkeypatch.setattr(training, "prepare_frame", lambda *_: (None, []))
     monkeypatch.setattr(store, "once", lambda spark, name, inputs, build: build())
     for module, name in ((learn, "fit"), (training, "scorecard"), (training, "ablation"), (training, "permutation_report")):
@@ -64,3 +66,19 @@ def test_registered_queries_fit_the_reference_settings(monkeypatch):
         with pytest.raises(Fitted) as found:
             getattr(q_learn, f"q_{name}")(None, "")
         assert found.value.args[0] == ([forest, boosted] if name in ("scorecard", "model_choice") else [forest]), name
+
+
+def test_audit_runs_after_the_scenario_edits(spark, sf_dir, monkeypatch):
+    raw = fixture.readings(spark, sf_dir)
+    edited, _ = scenarios.surge(scenarios.impute_faulty_sensor(raw, FAULTY_DISTRICT)[0], SURGE_DISTRICTS)
+    cleaned = clean.clean_readings(edited)
+    seen = []
+    monkeypatch.setattr(training, "ablation", lambda frame, *_: seen.append(frame) or frame.limit(0))
+    q_learn.q_ablation(spark, sf_dir)
+    found = {r.reading_id: r.date for r in seen[0].groupBy("reading_id").agg(F.max("date").alias("date")).collect()}
+    assert found == {r.reading_id: r.date for r in cleaned.groupBy("reading_id").agg(F.max("date").alias("date")).collect()}
+    one = q_audit.q_leakage_summary_scenarios(spark, sf_dir).first()
+    assert one.rows_before == raw.count() + len(SURGE_DISTRICTS) and one.rows_after == cleaned.count()
+    rate = cleaned.agg(F.avg(F.col("flood_event").cast("double"))).first()[0]
+    assert abs(one.flood_event_rate - rate) < 1e-5
+    assert q_audit.q_target_correlation_scenarios(spark, sf_dir).count() == 12

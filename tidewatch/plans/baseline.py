@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.operators import lookups
-from tidewatch.plans import clean
+from tidewatch.plans import clean, scenarios
 from tidewatch.session import cut_lineage
 from tidewatch.sources import fixture, store
 
@@ -37,6 +37,26 @@ def fixture_model_frame(spark: SparkSession, sf_dir: str, short_terrain: bool =
     return lookups.attach_terrain(fixture_clean(spark, sf_dir), fixture.terrain(spark, sf_dir, short_terrain))
 
 
+def fixture_audit_raw(spark: SparkSession, sf_dir: str, faulty: str, impacted: list[str]) -> DataFrame:
+    """C9's raw table: the derived readings after C4 and C3, prepared once per application and input."""
+    def build():
+        updated, _ = scenarios.impute_faulty_sensor(fixture.readings(spark, sf_dir), faulty)
+        return scenarios.surge(updated, impacted)[0]
+
+    return store.once(spark, "-".join(["audit-raw", faulty, *impacted]).replace(" ", "_"), fixture_inputs(sf_dir), build)
+
+
+def fixture_audit_clean(spark: SparkSession, sf_dir: str, faulty: str, impacted: list[str]) -> DataFrame:
+    """C1 over C9's raw table, prepared once per application and input."""
+    return store.once(spark, "-".join(["audit-clean", faulty, *impacted]).replace(" ", "_"), fixture_inputs(sf_dir),
+                      lambda: clean.clean_readings(fixture_audit_raw(spark, sf_dir, faulty, impacted)))
+
+
+def fixture_audit_frame(spark: SparkSession, sf_dir: str, faulty: str, impacted: list[str]) -> DataFrame:
+    """J1 on C9's cleaned table."""
+    return lookups.attach_terrain(fixture_audit_clean(spark, sf_dir, faulty, impacted), fixture.terrain(spark, sf_dir))
+
+
 @dataclass
 class Baseline:
     month: DataFrame      # (district, month) -> medians

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import audit
 from tidewatch.plans import baseline, clean
 from tidewatch.plans.catalogue import register, round_doubles
-from tidewatch.plans.oracle import cte, statement
+from tidewatch.plans.oracle import FAULTY_DISTRICT, SURGE_DISTRICTS, cte, statement
 from tidewatch.sources import fixture
 
 CORR_COLS = ["elevation", "evaporation", "latitude", "longitude", "precipitation", "pressure", "soil_moisture",
@@ -86,11 +86,28 @@ FROM (SELECT CAST(count(*) AS BIGINT) AS rows_before,
     "staged", "dedup", "clean", "model"))
 def q_leakage_summary(spark, sf):
     """C9 data-quality block: cleaning counters, duplicate keys after cleaning, label rate."""
-    raw = fixture.readings(spark, sf)
-    cleaned = baseline.fixture_clean(spark, sf)
-    model_df = baseline.fixture_model_frame(spark, sf)
+    return _leakage_summary(fixture.readings(spark, sf), baseline.fixture_clean(spark, sf),
+                            baseline.fixture_model_frame(spark, sf))
+
+
+def _leakage_summary(raw, cleaned, model_df):
     out = clean.quality_counters(raw).crossJoin(
         audit.duplicate_keys(cleaned, ["district", "date"]).select(
             F.col("duplicate_keys").alias("duplicate_district_date_after_cleanup"))).crossJoin(
         audit.label_rate(model_df).select(F.col("label_rate").alias("flood_event_rate")))
     return round_doubles(out)
+
+
+@register("q_leakage_summary_scenarios")
+def q_leakage_summary_scenarios(spark, sf):
+    """C9 data-quality block as the source runs it: after C4 and C3."""
+    edits = (FAULTY_DISTRICT, SURGE_DISTRICTS)
+    return _leakage_summary(baseline.fixture_audit_raw(spark, sf, *edits), baseline.fixture_audit_clean(spark, sf, *edits),
+                            baseline.fixture_audit_frame(spark, sf, *edits))
+
+
+@register("q_target_correlation_scenarios")
+def q_target_correlation_scenarios(spark, sf):
+    """A9 in C9 as the source runs it: after C4 and C3."""
+    df = baseline.fixture_audit_frame(spark, sf, FAULTY_DISTRICT, SURGE_DISTRICTS)
+    return round_doubles(audit.target_correlations(df, "flood_event", exclude=["reading_id", "station"]))
