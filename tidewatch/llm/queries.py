@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dart_minhash, fingerprint, hnsw, html, language, mixing, packing, toxicity, url_rules
+from . import chat, dart_minhash, fingerprint, fm_index, hnsw, html, language, mixing, packing, toxicity, url_rules
 from .common import id_fold, table, with_next
 
 #: The rules of the registered query as (action, host, path).
@@ -80,6 +80,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fm_index.remove_repeats(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +92,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_url_rules, op4_fingerprints, op5_chat_preferences,
-                                   op6_minhash_dedup, op7_language_id, op8_packing, op9_html_text, op10_source_mixing, pipeline)}
+                                   op6_minhash_dedup, op7_language_id, op8_packing, op9_html_text, op10_source_mixing,
+                                   op11_substring_dedup, pipeline)}
 
 ORACLE = {
     "op1_embedding_dedup": """
@@ -151,4 +157,17 @@ t AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(c.k) AS times
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS BIGINT) AS copy,
        md5('17/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || CAST(copy AS VARCHAR)) AS shuffle_key
 FROM t, LATERAL (SELECT unnest(range(times)) AS copy)""",
+    "op11_substring_dedup": """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS pos FROM w),
+k AS (SELECT doc_id, pos, md5(array_to_string(ws[pos:pos + 19], ' ')) AS h FROM s),
+early AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS turn FROM k),
+gone AS (SELECT DISTINCT doc_id, pos + unnest(range(20)) AS place FROM early WHERE turn > 1),
+g AS (SELECT doc_id, list(place) AS places, count(*) AS n FROM gone GROUP BY doc_id),
+r AS (SELECT w.doc_id, ws, coalesce(places, []) AS places, coalesce(n, 0) AS n FROM w LEFT JOIN g ON g.doc_id = w.doc_id),
+x AS (SELECT doc_id, len(ws) AS n_words, n, ws, places, unnest(range(1, greatest(len(ws), 1) + 1)) AS pos FROM r),
+kept AS (SELECT x.doc_id, string_agg(x.ws[x.pos], ' ' ORDER BY x.pos) AS kept FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.place = x.pos
+         WHERE gone.place IS NULL GROUP BY x.doc_id)
+SELECT r.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM r LEFT JOIN kept ON kept.doc_id = r.doc_id""",
 }
