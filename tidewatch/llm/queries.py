@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dart_minhash, fingerprint, fm_index, hnsw, html, language, mixing, packing, toxicity, url_rules
+from . import alignment, chat, dart_minhash, fingerprint, fm_index, hnsw, html, language, mixing, packing, spelling, toxicity, url_rules
 from .common import id_fold, table, with_next
 
 #: The rules of the registered query as (action, host, path).
@@ -85,6 +85,14 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_url_rules, op4_fingerprints, op5_chat_preferences,
                                    op6_minhash_dedup, op7_language_id, op8_packing, op9_html_text, op10_source_mixing,
-                                   op11_substring_dedup, pipeline)}
+                                   op11_substring_dedup, op12_tokenizer_alignment, op13_spelling_variants, pipeline)}
 
 ORACLE = {
     "op1_embedding_dedup": """
