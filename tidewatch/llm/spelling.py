@@ -32,7 +32,7 @@ from .common import ship
 
 ship(__name__)
 
-RUNS = "[A-Za-z\\u00C0-\\u00FF]+"
+LETTER = "[A-Za-z\u00C0-\u00FF]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Letter groups in the order of the path, chosen to have counts of like spread; all other letters are the last group.
