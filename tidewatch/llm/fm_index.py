@@ -294,7 +294,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     with batch_rows(spark, 500):
         seg = cut_lineage(segments(docs, id_col, text_col, window, anchor_words), "segments")
-    again = seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # what is joined back is written first, so that the joins have exchanges of their own and hot keys are split
+    again = cut_lineage(seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     seg = cut_lineage(seg.join(again, "anchor", "left_semi"), "repeated-anchors")
 
     # equal segments: all but the first occurrence are repeats as a whole
@@ -305,7 +306,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .selectExpr("doc", f"{VERSION} as v", f"{START} as start", f"{START} + {COUNT} + {window - 1} as stop")
 
     # anchors of several kinds of segments: the kinds' words go to shards
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = cut_lineage(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
     wanted = kinds.join(several, "anchor").selectExpr("first.doc as doc", "first.place as place", "anchor", f"kinds > {crowd} as crowded")
     size = wanted.agg(F.sum(F.expr(f"{COUNT} + {window}"))).first()[0] or 0
     shards = max(1, -(-size // shard_words))
@@ -341,6 +342,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = held.where("shard >= 0").groupBy("shard").applyInArrow(_searcher(window), "doc long, v long, start long, stop long")
     alone = held.where("shard < 0").select("key", "doc", "v", "start")
     lead = alone.groupBy("key").agg(F.min(F.struct("doc", "v", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lead = cut_lineage(lead, "window-firsts")
     single = alone.join(lead, "key").where("struct(doc, v, start) <> first").selectExpr("doc", "v", "start", f"start + {window} as stop")
     return copies.unionByName(found).unionByName(single)
 
