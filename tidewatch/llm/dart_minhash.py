@@ -164,10 +164,14 @@ def _member(id_col: str, text_col: str):
 
 
 def member_texts(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text): one row for each of the ``members`` (id), however often the table repeats it."""
+    """(id, text): one row for each of the ``members`` (id), however often the table repeats it.
+
+    The only pass that deals out whole documents: always by shuffle, whatever
+    the sizes; links are verified on the members' texts alone.
+    """
     return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()) \
         .select(_member(id_col, text_col).alias("id"), F.col(text_col).alias("text")) \
-        .join(members, "id", "left_semi").dropDuplicates(["id"])
+        .join(members.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 20, rows: int = 4,
@@ -210,8 +214,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return src.mapInArrow(run, f"id {MEMBER}, key binary, size long, bands array<long>")
 
 
-def rare_shingle_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float,
-                       words: int = 5) -> DataFrame:
+def rare_shingle_pairs(texts: DataFrame, members: DataFrame, threshold: float, words: int = 5) -> DataFrame:
     """(a, b) pairs of members (id, class) of different classes that can reach the likeness.
 
     Two texts of at least that likeness share ``threshold`` of either's shingles,
@@ -222,7 +225,8 @@ def rare_shingle_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_co
     shingle that two texts share, what is left of either bounds what they can
     have in common; a shared shingle later than that bound allows gives no pair.
     """
-    texts = member_texts(docs, members, id_col, text_col).select("id.doc", "id.row", "text")
+    spark = texts.sparkSession
+    texts = texts.join(members.select("id").hint("merge"), "id", "left_semi").select("id.doc", "id.row", "text")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -236,7 +240,7 @@ def rare_shingle_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_co
                         pa.array(np.full(len(h), doc)), pa.array(np.full(len(h), row)), pa.array(np.full(len(h), n.sum())),
                         pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["doc", "row", "size", "h", "n"])
 
-    with batch_rows(docs.sparkSession, 1000):
+    with batch_rows(spark, 1000):
         held = cut_lineage(texts.mapInArrow(cut, "doc long, row long, size long, h long, n long"), "shingles")
     common = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
@@ -258,8 +262,7 @@ def rare_shingle_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_co
         .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, words: int = 5,
-           fan: int = 200) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float, words: int = 5, fan: int = 200) -> DataFrame:
     """Those (a, b) pairs whose whole texts have at least the likeness.
 
     Texts are joined to the pairs by member; a member b with many partners is
@@ -267,12 +270,11 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
     """
     pairs = pairs.select("a", "b")
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("copies"))
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = member_texts(docs, need, id_col, text_col)
-    right = texts.join(many, texts.id == many.b).select("b", F.col("text").alias("text_b"), F.explode(
+    many = cut_lineage(many, "partners")
+    right = texts.join(many.hint("merge"), texts.id == many.b).select("b", F.col("text").alias("text_b"), F.explode(
         F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     left = pairs.join(many, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")) \
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
 
     def check(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -292,12 +294,14 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-                    bands: int = 20, rows: int = 4, words: int = 5, pivot_rounds: int = 2) -> DataFrame:
+                    bands: int = 20, rows: int = 4, words: int = 5, pivot_rounds: int = 6) -> DataFrame:
     """(id, component, links): class of every id that has a word; ids in no class are their own.
 
     ``links`` counts the verified links of an id's text.  In each pivot round a
     bucket has one pivot (the member of lowest rank for that round), so links
-    grow with the members.
+    grow with the members.  From the third round on only buckets with members of
+    different classes take part, and the rounds end with one that links nothing
+    or after ``pivot_rounds``.
     """
     spark = docs.sparkSession
     with batch_rows(spark, 1000):
@@ -305,35 +309,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = cut_lineage(sig.groupBy("key").agg(F.min("id").alias("rep")), "texts")
     reps = sig.join(groups, (sig.key == groups.key) & (sig.id == groups.rep), "left_semi").dropDuplicates(["id"])
     member = reps.select("id", "size", F.explode("bands").alias("bucket"))
-    crowd = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    crowd = cut_lineage(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "crowded")
     member = cut_lineage(member.join(crowd, "bucket"), "buckets")
+    texts = cut_lineage(member_texts(docs, member.select("id").distinct(), id_col, text_col), "member-texts")
     low = F.lit(threshold)
 
-    tried = links = None
+    def untried(pairs: DataFrame) -> DataFrame:
+        if tried is None:
+            return pairs
+        return pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        with batch_rows(spark, 200):
+            return cut_lineage(verify(pairs, texts, threshold, words), "links")
+
+    def placed_members() -> DataFrame:
+        """Members of buckets that hold several classes, with their classes."""
+        placed = member.join(components(links, "a", "b"), "id", "left").select("id", "size", "bucket", F.coalesce("component", "id").alias("class"))
+        placed = cut_lineage(placed, "classes")
+        split = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
+        return cut_lineage(placed.join(cut_lineage(split, "split"), "bucket"), "unsettled")
+
+    tried = links = unsettled = None
     for turn in range(pivot_rounds):
         rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), F.col("id"), F.col("size").alias("n"))
-        pivots = member.groupBy("bucket").agg(F.min(rank).alias("p"))
-        pairs = member.join(pivots, "bucket").select("id", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("n")) \
-            .where((F.col("id") != F.col("pivot")) & (F.least("size", "n") >= low * F.greatest("size", "n"))) \
+        if turn < 2:
+            pivots = member.groupBy("bucket").agg(F.min(rank).alias("p"))
+            pairs = member.join(pivots, "bucket").where(F.col("id") != F.col("p.id"))
+        else:  # the pivot of lowest rank; members of its class are settled with it
+            unsettled = placed_members()
+            pivots = cut_lineage(unsettled.groupBy("bucket").agg(F.min_by(F.struct("id", "size", "class"), F.xxhash64("id", F.lit(turn))).alias("q")), "pivots")
+            pivots = pivots.select("bucket", F.struct(F.col("q.id").alias("id"), F.col("q.size").alias("n"), F.col("q.class").alias("class")).alias("p"))
+            pairs = unsettled.join(pivots, "bucket").where(F.col("class") != F.col("p.class"))
+        pairs = pairs.select("id", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("n")) \
+            .where(F.least("size", "n") >= low * F.greatest("size", "n")) \
             .select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
-        with batch_rows(spark, 200):
-            good = cut_lineage(verify(pairs, docs, id_col, text_col, threshold, words), "links")
+        pairs = cut_lineage(untried(pairs), "pairs")
+        good = verified(pairs)
         tried = pairs if tried is None else tried.union(pairs)
         links = good if links is None else links.union(good)
+        if turn >= 2 and good.isEmpty():
+            break
 
     # members of one bucket that are still in different classes: exact join on rare shingles
-    classes = components(links, "a", "b")
-    placed = member.select("id", "bucket").join(classes, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("class"))
-    split = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-    unsettled = cut_lineage(placed.join(split, "bucket").select("id", "class").distinct(), "unsettled")
-    rest = rare_shingle_pairs(docs, unsettled, id_col, text_col, threshold, words)
-    rest = rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    rest = cut_lineage(rest, "pairs")
-    with batch_rows(spark, 200):
-        more = cut_lineage(verify(rest, docs, id_col, text_col, threshold, words), "links")
+    unsettled = placed_members().select("id", "class").distinct()
+    rest = cut_lineage(untried(rare_shingle_pairs(texts, unsettled, threshold, words)), "pairs")
+    more = verified(rest)
     links = links.union(more)
     classes = components(links, "a", "b")
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
@@ -346,9 +367,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class stays, the one of smallest id; its columns are unchanged.
 
-    Documents without a word or an id stay; of rows repeating one id one stays.
+    Documents without a word or an id stay.  Of rows that repeat an id and its
+    text one stays; an id with several texts keeps one row of each, or loses all
+    of them where a smaller id has a text of their class.
     """
     classes = near_duplicates(docs, id_col, text_col, **options)
     gone = classes.where("component <> id").select(F.col("id").alias(id_col))
-    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col, text_col])
     return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
