@@ -81,7 +81,7 @@ def reached(path: Column, surplus: Column, deficit: Column, first: int, last: in
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
-def dealt_out(words: DataFrame, groups: tuple = GROUPS, crowd: int = 20_000) -> DataFrame:
+def dealt_out(words: DataFrame, groups: tuple = GROUPS, crowd: int = 4_000) -> DataFrame:
     """(prefix, level, word, kept, surplus, deficit): the trie's words and the questions, under bounded prefixes."""
     path, total = group_counts(F.col("word"), groups), len(groups) + 1
     one = F.lit(1)
@@ -150,7 +150,7 @@ def path_of(word: str, group_of: dict, total: int) -> list:
     return out
 
 
-def near_pairs(words: DataFrame, groups: tuple = GROUPS, crowd: int = 20_000) -> DataFrame:
+def near_pairs(words: DataFrame, groups: tuple = GROUPS, crowd: int = 4_000) -> DataFrame:
     """(word, near): both directions of every pair of distinct words one edit apart."""
     group_of, total = {c: i for i, g in enumerate(groups) for c in g}, len(groups) + 1
 
