@@ -1,12 +1,11 @@
 """Learning operators on the small tables: shapes and ranges (no digit-level twin exists)."""
 
-import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import learn
+from tidewatch.operators import learn, metrics
 from tidewatch.plans import baseline, clean, q_audit, q_learn, scenarios, training
 from tidewatch.plans.oracle import FAULTY_DISTRICT, SURGE_DISTRICTS
-from tidewatch.sources import fixture, store
+from tidewatch.sources import fixture
 
 TINY = learn.ModelSpec("random_forest", trees=5, max_depth=5)
 
@@ -45,27 +44,18 @@ def test_permutation_depends_on_ids_alone(spark):
     assert one == many and sum(x != i % 17 for i, x, _ in one) > 300
 
 
-def test_registered_queries_fit_the_reference_settings(monkeypatch):
-    class Fitted(Exception):
-        pass
-
-    def stop(*args, **_):
-        raise Fitted([s for a in args for s in (a.candidates if isinstance(a, training.TrainOptions) else [a])
-                      if isinstance(s, learn.ModelSpec)])
-
-    monkeypatch.setattr(q_learn, "_frame", lambda *_: None)
-    for name in ("fixture_model_frame", "fixture_audit_frame"):
-        monkeypatch.setattr(baseline, name, lambda *_: None, raising=False)
-    monkeypatch.setattr(training, "prepare_frame", lambda *_: (None, []))
-    monkeypatch.setattr(store, "once", lambda spark, name, inputs, build: build())
-    for module, name in ((learn, "fit"), (training, "scorecard"), (training, "ablation"), (training, "permutation_report")):
-        monkeypatch.setattr(module, name, stop)
-    forest, boosted = learn.ModelSpec("random_forest", trees=500, max_depth=30), learn.ModelSpec("gradient_boosted", boost_rounds=100, boost_depth=5)
-    for name in ("train_score", "feature_importance", "scorecard", "model_choice", "ablation", "permutation_importance",
-                 "leaderboard", "stress_audit_model", "score_reports_model"):
-        with pytest.raises(Fitted) as found:
-            getattr(q_learn, f"q_{name}")(None, "")
-        assert found.value.args[0] == ([forest, boosted] if name in ("scorecard", "model_choice") else [forest]), name
+def test_registered_queries_fit_the_reference_settings(spark, sf_dir):
+    """The stored model of q_train_score and q_extra_trees has the source's trees, all of them."""
+    for spec, name in ((q_learn.FOREST, "random_forest"), (q_learn.EXTRA, "extra_trees")):
+        assert (spec.name, spec.trees, spec.min_leaf, spec.balanced, spec.max_depth) == (name, 500, 2, True, 30)
+    n = q_learn._frame(spark, sf_dir).count()
+    for query, spec in ((q_learn.q_train_score, q_learn.FOREST), (q_learn.q_extra_trees, q_learn.EXTRA)):
+        rows = query(spark, sf_dir).collect()
+        assert len(rows) == n and all(0 <= r.score <= 1 and r.prediction == (r.score > 0.5) for r in rows)
+        model = q_learn._model(spark, sf_dir, spec)
+        assert model.spec == spec and model.nodes.select("tree").distinct().count() == 500
+        auc = metrics.exact_auc(query(spark, sf_dir)).first().roc_auc
+        assert auc > 0.9  # on rows the trees have seen
 
 
 def test_audit_runs_after_the_scenario_edits(spark, sf_dir, monkeypatch):

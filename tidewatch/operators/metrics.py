@@ -69,8 +69,7 @@ def exact_auc(df: DataFrame, label: str = "label", score: str = "score", groups:
     y = F.col(label)
     per_score = df.where(F.col(score).isNotNull()).groupBy(*g, score).agg(
         F.count_if(y == 1).cast("long").alias("np"), F.count_if(y != 1).cast("long").alias("nn"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    b = timeseries.ordered_scan(per_score, g, [score], sums=[("nn", [], "_upto")], partitions=parts, skip_null_keys=False)
+    b = timeseries.ordered_scan(per_score, g, [score], sums=[("nn", [], "_upto")], skip_null_keys=False)
     below = F.col("_upto") - F.col("nn")
     b = b.withColumn("_num", (F.col("np").cast("decimal(38,0)") * (below * 2 + F.col("nn")).cast("decimal(38,0)")))
     agg = b.groupBy(*g).agg(F.sum("_num").alias("_num"), F.sum("np").alias("_p"), F.sum("nn").alias("_n"))

@@ -18,9 +18,7 @@ def value_ranks(df: DataFrame, groups: list[str], order_cols: list[str]) -> Data
     """One row per distinct (groups, order_cols): ``n`` equal rows, the last of which has rank ``upto`` (from 1)
     in the group's ascending order.  A null group is a group; null order values come first."""
     counts = df.groupBy(*groups, *order_cols).agg(F.count(F.lit(1)).alias("n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return timeseries.ordered_scan(counts, list(groups), list(order_cols), sums=[("n", [], "upto")],
-                                   partitions=parts, skip_null_keys=False)
+    return timeseries.ordered_scan(counts, list(groups), list(order_cols), sums=[("n", [], "upto")], skip_null_keys=False)
 
 
 def holds_rank(k: Column | int) -> Column:

@@ -97,12 +97,10 @@ def stand_in_probability() -> Column:
 
 
 def model_probability(model, features: DataFrame) -> DataFrame:
-    """Positive-class probability from a fitted pipeline (adds ``probability_1``)."""
-    from pyspark.ml.functions import vector_to_array
+    """Positive-class probability from a fitted model (adds ``probability_1``)."""
+    from tidewatch.operators import learn
 
-    scored = model.transform(features)
-    return scored.withColumn("probability_1", vector_to_array("probability")[1]) \
-        .drop("probability", "rawPrediction", "prediction", "features", "features_num", "features_cat")
+    return learn.predict(model, features).withColumnRenamed("score", "probability_1").drop("prediction")
 
 
 def advisory(level: Column) -> dict[str, Column]:

@@ -8,8 +8,10 @@ changed input is prepared anew and another session never reads a stale copy.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.session import scratch_path
@@ -35,10 +37,40 @@ def listing(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
+def _place(spark: SparkSession, name: str, inputs: list[str]) -> str:
+    digest = hashlib.md5("\n".join(x for p in inputs for x in listing(spark, p)).encode()).hexdigest()
+    return scratch_path(spark, f"prepared/{name}-{digest}")
+
+
+def _publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write beside ``path`` and move there when complete, so no reader sees a part and of two writers one wins."""
+    if exists(spark, path):
+        return
+    own = f"{path}-{uuid.uuid4().hex}"
+    write(own)
+    fs, p = _path(spark, path)
+    _, mine = _path(spark, own)
+    try:
+        moved = not fs.exists(p) and fs.rename(mine, p)
+    except Py4JJavaError:
+        moved = False
+    if not moved:
+        if not fs.exists(p):
+            raise OSError(f"could not move {own} to {path}")
+        fs.delete(mine, True)
+
+
 def once(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
     """``build()``'s rows, written by the first call for these inputs and read back by all."""
-    digest = hashlib.md5("\n".join(x for p in inputs for x in listing(spark, p)).encode()).hexdigest()
-    path = scratch_path(spark, f"prepared/{name}-{digest}")
-    if not exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+    path = _place(spark, name, inputs)
+    _publish(spark, path, lambda own: build().write.parquet(own))
     return spark.read.parquet(path)
+
+
+def model_once(spark: SparkSession, name: str, inputs: list[str], spec, build: Callable[[], object]):
+    """A fitted model, saved by the first call for these inputs and settings and loaded by all."""
+    from tidewatch.sources import tables
+
+    path = _place(spark, f"model-{name}-{hashlib.md5(repr(spec).encode()).hexdigest()}", inputs)
+    _publish(spark, path, lambda own: tables.save_model(build(), own))
+    return tables.load_model(spark, path)

@@ -73,15 +73,27 @@ def write_json_file(spark: SparkSession, payload: dict, path: str) -> None:
 
 
 def save_model(model, path: str) -> None:
-    """Persist a fitted ``PipelineModel``."""
-    model.write().overwrite().save(path)
+    """Persist a fitted model (a tree model or a Spark ML pipeline)."""
+    from tidewatch.operators import learn
 
+    if isinstance(model, learn.TreeModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
-def load_artifacts(spark: SparkSession, artifacts_dir: str):
-    """Model plus the baseline tables written by the training plan."""
+
+def load_model(spark: SparkSession, path: str):
+    """Read back what ``save_model`` wrote."""
     from pyspark.ml import PipelineModel
 
-    model = PipelineModel.load(os.path.join(artifacts_dir, "model"))
+    from tidewatch.operators import learn
+
+    return learn.TreeModel.load(spark, path) if store.exists(spark, f"{path}/nodes") else PipelineModel.load(path)
+
+
+def load_artifacts(spark: SparkSession, artifacts_dir: str):
+    """Model plus the baseline tables written by the training plan."""
+    model = load_model(spark, os.path.join(artifacts_dir, "model"))
     tables = {
         name: spark.read.parquet(os.path.join(artifacts_dir, name))
         for name in ("month_baseline", "default_baseline", "terrain_lookup", "region_population", "allowed_districts")
