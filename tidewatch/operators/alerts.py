@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed, rules
+from tidewatch.operators import timeseries
+from tidewatch.session import cut_lineage
 
 ADVISORY_KEYS = ["risk_level_en", "risk_level_ur", "recommended_action_en", "recommended_action_ur"]
 
@@ -38,6 +40,27 @@ def merge_alerts(rows: DataFrame, group_cols: list[str] = ()) -> DataFrame:
         .select(*group_cols, "alert_rank", "districts", *ADVISORY_KEYS)
 
 
+def merge_all_alerts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A12 + O3 over the whole table: (alerts, members), linked by ``alert_rank``.
+
+    alerts: one row per identical advisory with its rank (1 = first shown) and the
+    number of rows merged; members: (alert_rank, district, times).  No list is
+    built and nothing is ranked in one task: the advisories are numbered by an
+    ordered scan over ranges, and districts are counted before they move.
+    """
+    keyed = rows.select("district", F.col("risk_level_en"), *[rules.unicode_trim(c).alias(c) for c in ADVISORY_KEYS[1:]])
+    counted = cut_lineage(keyed.groupBy(*ADVISORY_KEYS, "district").agg(F.count(F.lit(1)).alias("times")), "alert-members")
+    merged = counted.groupBy(*ADVISORY_KEYS).agg(F.lower(F.min("district")).alias("_first"), F.sum("times").cast("long").alias("merged"))
+    merged = cut_lineage(merged.withColumns({"_severity": severity("risk_level_en"), "_one": F.lit(1)}), "alerts")
+    ranked = timeseries.ordered_scan(merged, [], ["_severity", "_first", *ADVISORY_KEYS], sums=[("_one", [], "alert_rank")], skip_null_keys=False)
+    ranked = cut_lineage(ranked.withColumn("alert_rank", F.col("alert_rank").cast("long")), "ranked-alerts")
+    same = F.lit(True)
+    for c in ADVISORY_KEYS:
+        same = same & F.col(f"_c_{c}").eqNullSafe(F.col(c))
+    members = counted.withColumnsRenamed({c: f"_c_{c}" for c in ADVISORY_KEYS}).join(ranked, same).select("alert_rank", "district", "times")
+    return ranked.select("alert_rank", *ADVISORY_KEYS, "merged"), members
+
+
 def banner_text(merged: DataFrame) -> DataFrame:
     """display names of a merged alert joined with commas."""
     return merged.withColumn("district_names",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import quality
+from tidewatch.session import cut_lineage
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,6 +53,17 @@ def crosstab(df: DataFrame, row: str, col: str, prefix: str | None = None) -> Da
     return wide.select(row, *[F.col(f"`{v}`").cast("long").alias(f"{prefix}{v}") for v in values])
 
 
+def crosstab_long(df: DataFrame, row: str, col: str, out: str = "n") -> DataFrame:
+    """A10 in long form: one cell per pair of occurring values, zeros included; no value comes to the driver.
+
+    The grid of all pairs of values is the result's own size.
+    """
+    src = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+    cells = cut_lineage(src.groupBy(row, col).agg(F.count(F.lit(1)).cast("long").alias(out)), "cells")
+    grid = cells.select(row).distinct().crossJoin(cells.select(col).distinct())
+    return grid.join(cells, [row, col], "left").select(row, col, F.coalesce(out, F.lit(0).cast("long")).alias(out))
+
+
 def first_distinct(df: DataFrame, column: str, seq_col: str, n: int = 5) -> DataFrame:
     """The first ``n`` distinct non-null values in row order (a top-n report)."""
     firsts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(seq_col).alias("_first"))

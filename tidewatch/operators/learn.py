@@ -121,7 +121,7 @@ def fit_preprocessor(train: DataFrame, feats: Features) -> PipelineModel:
     return Pipeline(stages=preprocessor_stages(train, feats.active(train))).fit(train)
 
 
-def _vectors(prep: PipelineModel, df: DataFrame) -> DataFrame:
+def array_features(prep: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` with the assembled features as an array; the preprocessor's work columns are dropped."""
     out = prep.transform(df)
     work = [c for c in out.columns if c.endswith(("__imp", "__idx", "__ohe"))]
@@ -137,7 +137,7 @@ def grow_all(train: DataFrame, prep: PipelineModel, specs: list[ModelSpec], labe
     """
     limit = max(s.fit_rows for s in specs)
     sample = forest.fitting_rows(train.where(F.col(label).isNotNull()), id_col, limit, specs[0].seed)
-    rows = cut_lineage(_vectors(prep, sample).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"), "features"), "fitting-rows")
+    rows = cut_lineage(array_features(prep, sample).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"), "features"), "fitting-rows")
     named = {n: specs[0].ensemble(n, s) for n, s in slots.items()} if slots else {s.name: s.ensemble() for s in specs}
     nodes = cut_lineage(forest.grow(rows, list(named.values())), "trees")
     spec_of = {n: specs[0] for n in slots} if slots else {s.name: s for s in specs}
@@ -168,7 +168,7 @@ def fit(train: DataFrame, feats: Features, spec: ModelSpec, label: str = "label"
 def predict(model, df: DataFrame) -> DataFrame:
     """Prediction and positive-class probability per row (work columns dropped)."""
     if isinstance(model, TreeModel):
-        scored = forest.score_rows(_vectors(model.prep, df), model.trees)
+        scored = forest.score_rows(array_features(model.prep, df), model.trees)
         return scored.withColumn("prediction", (F.col("score") > 0.5).cast("int"))
     out = model.transform(df).withColumn("score", vector_to_array("probability")[1])
     drop = [c for c in out.columns if c.endswith(("__imp", "__idx", "__ohe"))

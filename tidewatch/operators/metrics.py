@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed
 from tidewatch.operators import timeseries
+from tidewatch.session import cut_lineage
 
 
 def _safe_div(num: Column, den: Column) -> Column:
@@ -67,8 +68,8 @@ def exact_auc(df: DataFrame, label: str = "label", score: str = "score", groups:
     """
     g = list(groups)
     y = F.col(label)
-    per_score = df.where(F.col(score).isNotNull()).groupBy(*g, score).agg(
-        F.count_if(y == 1).cast("long").alias("np"), F.count_if(y != 1).cast("long").alias("nn"))
+    per_score = cut_lineage(df.where(F.col(score).isNotNull()).groupBy(*g, score).agg(
+        F.count_if(y == 1).cast("long").alias("np"), F.count_if(y != 1).cast("long").alias("nn")), "score-counts")
     b = timeseries.ordered_scan(per_score, g, [score], sums=[("nn", [], "_upto")], skip_null_keys=False)
     below = F.col("_upto") - F.col("nn")
     b = b.withColumn("_num", (F.col("np").cast("decimal(38,0)") * (below * 2 + F.col("nn")).cast("decimal(38,0)")))

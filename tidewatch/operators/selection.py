@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import timeseries
+from tidewatch.session import cut_lineage
 
 
 def value_ranks(df: DataFrame, groups: list[str], order_cols: list[str]) -> DataFrame:
     """One row per distinct (groups, order_cols): ``n`` equal rows, the last of which has rank ``upto`` (from 1)
     in the group's ascending order.  A null group is a group; null order values come first."""
-    counts = df.groupBy(*groups, *order_cols).agg(F.count(F.lit(1)).alias("n"))
+    # written before the scan, whose sizes and bounds then come from this small table
+    counts = cut_lineage(df.groupBy(*groups, *order_cols).agg(F.count(F.lit(1)).alias("n")), "value-counts")
     return timeseries.ordered_scan(counts, list(groups), list(order_cols), sums=[("n", [], "upto")], skip_null_keys=False)
 
 
@@ -26,20 +28,34 @@ def holds_rank(k: Column | int) -> Column:
     return (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
 
 
+def _any_of(terms: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in terms:
+        out = out | t
+    return out
+
+
 def kth_rows(df: DataFrame, order_cols: list[str], ks: list[int]) -> list[tuple]:
-    """Values of ``order_cols`` at the given 0-based ranks, from one pass (rows with a null in them do not count)."""
-    ranks = value_ranks(df.select(*order_cols).dropna(), [], order_cols)
-    hit = F.lit(False)
-    for k in ks:
-        hit = hit | holds_rank(F.lit(k))
-    found = ranks.where(hit).collect()  # at most one row per rank asked for
-    out = []
+    """Values of ``order_cols`` at the given 0-based ranks (rows with a null in them do not count).
+
+    Hierarchical: rows are counted per value of the first column, the running
+    counts name the values that the ranks fall on, and only the rows of those
+    values are ranked by the other columns.
+    """
+    src = df.select(*order_cols).dropna()
+    first, rest = order_cols[0], list(order_cols[1:])
+    found = value_ranks(src, [], [first]).where(_any_of([holds_rank(F.lit(k)) for k in ks])).collect()  # a row per rank at most
+    edges = []
     for k in ks:
         row = next((r for r in found if r["upto"] - r["n"] <= k < r["upto"]), None)
         if row is None:
             raise IndexError(f"rank {k} outside the rows")
-        out.append(tuple(row[c] for c in order_cols))
-    return out
+        edges.append((row[first], k - (row["upto"] - row["n"])))
+    if not rest:
+        return [(v,) for v, _ in edges]
+    inner = value_ranks(src.where(_any_of([F.col(first) == F.lit(v) for v in {v for v, _ in edges}])), [first], rest)
+    at = inner.where(_any_of([(F.col(first) == F.lit(v)) & holds_rank(F.lit(k)) for v, k in edges])).collect()
+    return [next(tuple(r[c] for c in order_cols) for r in at if r[first] == v and r["upto"] - r["n"] <= k < r["upto"]) for v, k in edges]
 
 
 def kth_row(df: DataFrame, order_cols: list[str], k: int) -> tuple:

@@ -3,10 +3,9 @@
 Order is always completed with a unique sequence column, so every result is
 defined even where the source sort had ties.
 
-Per-key selections (latest / first / top row, last non-null value) are
-``max_by`` / ``min_by`` aggregates: they combine map-side before the shuffle,
-so a key that holds a third of all rows still reduces to one row per task
-before anything moves.  Running sums and lags need the row order: the plain
+Per-key selections (latest / first / top row, last non-null value) are rank
+limits: every task keeps its first row per key before the shuffle, so a key that
+holds a third of all rows still sends one row per task.  Running sums and lags need the row order: the plain
 versions are windows partitioned by the entity key; ``ordered_scan`` computes
 both over range partitions, so a hot key is spread over many tasks.
 """
@@ -53,22 +52,21 @@ def lag_columns(df: DataFrame, columns: list[str], partition_cols: list[str], or
                            for c in columns})
 
 
-def _pick(df: DataFrame, keys: list[str], key: Column, use_max: bool) -> DataFrame:
-    others = [c for c in df.columns]
-    packed = F.struct(*[F.col(c) for c in others])
-    agg = F.max_by(packed, key) if use_max else F.min_by(packed, key)
-    picked = df.groupBy(*keys).agg(agg.alias("_row"))
-    return picked.select(*[F.col("_row")[c].alias(c) for c in others])
+def _pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row per key in ``order``: a rank limit, which Spark applies before the exchange as well,
+    so a hot key sends one row per task."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_place", F.row_number().over(w)).where("_place <= 1").drop("_place")
 
 
 def latest_row(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
     """The last row per key in (order_cols) order."""
-    return _pick(df, keys, F.struct(*[F.col(c) for c in order_cols]), use_max=True)
+    return _pick(df, keys, [F.col(c).desc_nulls_last() for c in order_cols])
 
 
 def first_row(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
     """The first row per key in (order_cols) order (dedup on a subset)."""
-    return _pick(df, keys, F.struct(*[F.col(c) for c in order_cols]), use_max=False)
+    return _pick(df, keys, [F.col(c).asc_nulls_first() for c in order_cols])
 
 
 def top_row(df: DataFrame, keys: list[str], measure: str, date_col: str, seq_col: str) -> DataFrame:
@@ -77,20 +75,14 @@ def top_row(df: DataFrame, keys: list[str], measure: str, date_col: str, seq_col
     has = F.col(measure).isNotNull()
     day = F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date"))
     seq = F.col(seq_col).cast("long")
-    key = F.struct(
-        F.when(has, 0).otherwise(1),
-        F.when(has, -F.col(measure)).otherwise(F.lit(0.0)),
-        F.when(has, day).otherwise(-day),
-        F.when(has, seq).otherwise(-seq),
-    )
-    return _pick(df, keys, key, use_max=False)
+    return _pick(df, keys, [F.when(has, 0).otherwise(1), F.when(has, -F.col(measure)).otherwise(F.lit(0.0)),
+                            F.when(has, day).otherwise(-day), F.when(has, seq).otherwise(-seq)])
 
 
 def last_value(df: DataFrame, keys: list[str], value: str, order_cols: list[str], out: str | None = None) -> DataFrame:
     """Last non-null value per key in order."""
-    ordered = F.struct(*[F.col(c) for c in order_cols])
-    return df.where(F.col(value).isNotNull()).groupBy(*keys) \
-        .agg(F.max_by(F.col(value), ordered).alias(out or value))
+    there = df.where(F.col(value).isNotNull()).select(*keys, *[c for c in order_cols if c not in keys], F.col(value).alias("_value"))
+    return latest_row(there, keys, order_cols).select(*keys, F.col("_value").alias(out or value))
 
 
 # --- ordered scan over range partitions (hot keys) ---------------------------------------------

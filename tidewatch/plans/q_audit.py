@@ -57,6 +57,16 @@ def q_crosstab(spark, sf):
     return audit.crosstab(fixture.readings(spark, sf), "ds_idx", "flood_event")
 
 
+@register("q_crosstab_long", statement("""
+SELECT a.ds_idx, b.flood_event, CAST(count(raw.reading_id) AS BIGINT) AS n
+FROM (SELECT DISTINCT ds_idx FROM raw WHERE ds_idx IS NOT NULL AND flood_event IS NOT NULL) a
+CROSS JOIN (SELECT DISTINCT flood_event FROM raw WHERE ds_idx IS NOT NULL AND flood_event IS NOT NULL) b
+LEFT JOIN raw ON raw.ds_idx = a.ds_idx AND raw.flood_event = b.flood_event GROUP BY ALL""", "raw"))
+def q_crosstab_long(spark, sf):
+    """A10 / C11 in long form: every cell, zeros included."""
+    return audit.crosstab_long(fixture.readings(spark, sf), "ds_idx", "flood_event")
+
+
 _SAMPLE_COLS = ["water_area_km2", "water_area_change", "water_area_pct_change", "ds_idx"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import rules
-from tidewatch.operators import lookups
+from tidewatch.operators import alerts, lookups
 from tidewatch.plans import baseline, scoring
 from tidewatch.plans.catalogue import register, round_doubles
 from tidewatch.plans.oracle import band_sql, case_map, guard_sql, statement
@@ -123,6 +123,34 @@ def q_alert_merge(spark, sf):
         "alert_rank", F.col("alert_rank").cast("int"))
 
 
+@register("q_alert_merge_all", statement("""
+SELECT m.alert_rank, f.district, CAST(count(*) AS BIGINT) AS times, m.risk_level_en, m.merged
+FROM (SELECT risk_level_en, risk_level_ur, recommended_action_en, recommended_action_ur, CAST(count(*) AS BIGINT) AS merged,
+             row_number() OVER (ORDER BY """ + case_map("risk_level_en", {"Critical": 0, "High": 1, "Medium": 2, "Low": 3}, "99") + """,
+               lower(min(district)), risk_level_en, risk_level_ur, recommended_action_en, recommended_action_ur) AS alert_rank
+      FROM fan_alerts GROUP BY 1, 2, 3, 4) m
+JOIN fan_alerts f ON f.risk_level_en IS NOT DISTINCT FROM m.risk_level_en AND f.risk_level_ur IS NOT DISTINCT FROM m.risk_level_ur
+  AND f.recommended_action_en IS NOT DISTINCT FROM m.recommended_action_en
+  AND f.recommended_action_ur IS NOT DISTINCT FROM m.recommended_action_ur GROUP BY ALL""", "fan_alerts"))
+def q_alert_merge_all(spark, sf):
+    """A12 + O3 without grouping columns: alerts of all reports merged and ranked, with their districts."""
+    _, base, exposure = fixture_context(spark, sf)
+    merged = scoring.regional_alerts(fixture.field_reports(spark, sf), base.allowed, base, exposure)
+    rows = merged.withColumn("district", F.explode("districts")).drop("alert_rank", "districts")
+    alerts_, members = alerts.merge_all_alerts(rows)
+    return members.join(alerts_.select("alert_rank", "risk_level_en", "merged"), "alert_rank")
+
+
+@register("q_banner", statement("""
+SELECT report_id, risk_level_en, string_agg(name, ', ' ORDER BY district) AS district_names FROM (
+  SELECT f.*, replace(trim(f.district), '_', ' ') AS name FROM fan_alerts f) GROUP BY report_id, risk_level_en, risk_level_ur, recommended_action_en, recommended_action_ur""", "fan_alerts"))
+def q_banner(spark, sf):
+    """a merged alert's districts as one line of display names."""
+    _, base, exposure = fixture_context(spark, sf)
+    merged = scoring.regional_alerts(fixture.field_reports(spark, sf), base.allowed, base, exposure)
+    return alerts.banner_text(merged).select("report_id", "risk_level_en", "district_names")
+
+
 @register("q_stress_audit", statement(f"""
 SELECT district, rainfall_mm, base_level,
        {guard_sql('base_level', 'rainfall_mm', "'Saturated'", "'Yes'")} AS risk_level_en,
