@@ -41,3 +41,36 @@ def test_range_scan_equals_windows(spark, sf_dir):
     for k in ra:
         for x, y in zip(ra[k][1:], rb[k][1:]):
             assert (x is None and y is None) or abs(x - y) < 1e-9
+
+
+def test_brackets_of_large_groups_hold_every_quantile(spark):
+    """Groups beyond the sketch's accuracy, with ties, infinities, NaN and nulls, against sorted lists."""
+    import math
+    import random
+
+    from tidewatch.operators import quantiles
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(9000):
+        g = rng.choice([None, "a", "b", "b", "b"])
+        x = rng.choice([0.0, 0.0, round(rng.gauss(0, 5), 1), rng.expovariate(0.01), float("inf"), float("-inf"), float("nan"), None])
+        rows.append((g, x, float(i)))
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(9)
+    shares = [0.0, 0.003, 0.25, 0.5, 0.77, 0.997, 1.0]
+    specs = {f"{c}{j}": (c, p) for c in "xy" for j, p in enumerate(shares)}
+
+    def want(values, p):
+        v = sorted(values)
+        k = p * (len(v) - 1)
+        lo, hi, t = v[math.floor(k)], v[math.ceil(k)], k - math.floor(k)
+        if lo == hi or t == 0 or lo == -math.inf:
+            return lo
+        return hi if hi == math.inf else lo + (hi - lo) * t
+
+    for groups in (["g"], []):
+        for r in quantiles.quantile_table(df, specs, groups, drop_null_keys=False).collect():
+            for name, (c, p) in specs.items():
+                mine = [row["xy".index(c) + 1] for row in rows if not groups or row[0] == r.g]
+                mine = [v for v in mine if v is not None and not math.isnan(v)]
+                assert len(mine) > quantiles.BRACKET and abs(r[name] - want(mine, p)) < 1e-9 or r[name] == want(mine, p), (name, p)

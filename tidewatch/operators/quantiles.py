@@ -1,9 +1,11 @@
 """Quantiles and medians.
 
 ``method="exact"`` is linear interpolation between the two order statistics
-around ``p * (n - 1)``, whatever the size of the table or of a group: distinct
-values are counted and ranked over range partitions (``selection.value_ranks``),
-so no group meets in one task.  Null and NaN are missing values and skipped;
+around ``p * (n - 1)``, whatever the size of the table or of a group.  A mergeable
+sketch per group and column gives values that enclose the quantile by its proven
+rank error; one pass counts what lies below and only the values inside (all of a
+group of at most ``BRACKET`` values) are counted and ranked over range partitions
+(``selection.value_ranks``), so no group meets in one task.  Null and NaN are missing values and skipped;
 infinities are values, and between a finite value and an
 infinity lies the infinity.  A group without values gives null.  ``method="approx"``
 is Spark's streaming sketch with a bounded relative rank error (``accuracy``).
@@ -15,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import selection
+from tidewatch.session import cut_lineage
+
+BRACKET = 500   # accuracy of the sketch: a rank is off by a 500th of the group at most
 
 
 def present(c: str) -> Column:
@@ -35,29 +40,56 @@ def quantile_table(df: DataFrame, specs: dict[str, tuple[str, float]], group_col
     if method == "approx":
         return (src.groupBy(*g) if g else src).agg(
             *[F.percentile_approx(present(c), F.lit(p), F.lit(accuracy)).alias(name) for name, (c, p) in specs.items()])
+    # 1. a sketch per group and column: values that enclose every quantile, by its proven rank error
     cols = sorted({c for c, _ in specs.values()})
-    long = src.select(*g, F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), present(c).alias("_x")) for c in cols])).alias("_v"))
-    long = long.select(*g, "_v._col", "_v._x")
-    # nulls stay until the ranks are known, so that every group has a row; they rank first and are taken off again
-    ranks = selection.value_ranks(long, [*g, "_col"], ["_x"])
-    sizes = long.groupBy(*g, "_col").agg(F.count("_x").alias("_have"), F.count(F.lit(1)).alias("_all"))
-    named = sizes.select(*[F.col(c).alias(f"_s_{c}") for c in [*g, "_col"]], "_have", "_all")
+    src = src.select(*g, *[present(c).alias(f"_x_{c}") for c in cols])
+    margin, ends = 4 / BRACKET, {c: sorted({p for d, p in specs.values() if d == c}) for c in cols}
+    sketch = {c: F.percentile_approx(f"_x_{c}", [min(max(p + s * margin, 0.0), 1.0) for p in ends[c] for s in (-1, 1)], BRACKET) for c in cols}
+    aggregates = [x for c in cols for x in (F.count(f"_x_{c}").alias(f"_n_{c}"), sketch[c].alias(f"_b_{c}"))]
+    around = cut_lineage((src.groupBy(*g) if g else src).agg(*aggregates), "brackets")
+
+    def fence(c: str, p: float, side: int) -> Column:
+        """A bound below (0) or above (1) the quantile; none for a group of few values or beyond the range."""
+        open_end = F.lit(float("inf") if side else float("-inf"))
+        outside = (F.col(f"_n_{c}") <= BRACKET) | F.lit(p + margin >= 1.0 if side else p - margin <= 0.0)
+        return F.when(outside, open_end).otherwise(F.col(f"_b_{c}")[2 * ends[c].index(p) + side])
+
+    def with_brackets(df: DataFrame) -> DataFrame:
+        named = around.withColumnsRenamed({c: f"_g_{c}" for c in g})
+        if not g:
+            return df.crossJoin(F.broadcast(named))  # one row
+        same = F.lit(True)
+        for c in g:
+            same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        return df.join(named, same).drop(*[f"_g_{c}" for c in g])
+
+    # 2. values below the brackets are counted, the few inside are ranked
+    near = with_brackets(src)
+    below = (near.groupBy(*g) if g else near).agg(*[F.count_if(F.col(f"_x_{c}") < fence(c, p, 0)).alias(f"_below_{n}") for n, (c, p) in specs.items()],
+                                                  *[F.max(f"_n_{c}").alias(f"_n_{c}") for c in cols])
+    inside = F.array(*[F.when(F.col(f"_x_{c}").between(fence(c, p, 0), fence(c, p, 1)), F.struct(F.lit(n).alias("_s"), F.col(f"_x_{c}").alias("_x")))
+                       for n, (c, p) in specs.items()])
+    few = near.select(*g, F.explode(F.filter(inside, lambda v: v.isNotNull())).alias("_v")).select(*g, "_v._s", "_v._x")
+    ranks = selection.value_ranks(few, [*g, "_s"], ["_x"])
+    wide = cut_lineage(below, "below").withColumnsRenamed({c: f"_g_{c}" for c in g})
     same = F.lit(True)
-    for c in [*g, "_col"]:
-        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    sized = ranks.join(named, same).drop(*[c for c in named.columns if c.startswith("_s_")])
-    missing = F.col("_all") - F.col("_have")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    joined = wide.join(ranks, same, "left")  # without groups: one row with the few ranked values
     picks = []
     for name, (c, p) in specs.items():
-        pos = F.lit(p) * (F.col("_have") - 1)
-        mine = (F.col("_col") == c) & (F.col("_have") > 0)
-        low, high = selection.holds_rank(F.floor(pos) + missing), selection.holds_rank(F.ceil(pos) + missing)
+        pos = F.lit(p) * (F.col(f"_n_{c}") - 1)
+        mine = (F.col("_s") == name) & (F.col(f"_n_{c}") > 0)
+        low, high = (selection.holds_rank(f(pos) - F.col(f"_below_{name}")) for f in (F.floor, F.ceil))
         picks += [F.max(F.when(mine & low, F.col("_x"))).alias(f"_lo_{name}"), F.max(F.when(mine & high, F.col("_x"))).alias(f"_hi_{name}"),
-                  F.max(F.when(mine, pos - F.floor(pos))).alias(f"_t_{name}")]
-    found = (sized.groupBy(*g) if g else sized).agg(*picks)
+                  F.max(F.when(F.col(f"_n_{c}") > 0, pos - F.floor(pos))).alias(f"_t_{name}")]
+    keys = [f"_g_{c}" for c in g]
+    found = (joined.groupBy(*keys) if g else joined).agg(*picks).withColumnsRenamed({f"_g_{c}": c for c in g})
 
     def between(name: str) -> Column:
         lo, hi, t = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_t_{name}")
+        lost = t.isNotNull() & (lo.isNull() | hi.isNull())
+        lo = F.when(lost, F.raise_error(F.lit(f"{name}: a rank lies outside its bracket")).cast("double")).otherwise(lo)
         step = hi - lo  # the convention of the common array libraries: from the nearer end
         return F.when((lo == hi) | (t == 0) | (lo == float("-inf")), lo).when(hi == float("inf"), hi).when(t >= 0.5, hi - step * (F.lit(1.0) - t)).otherwise(lo + step * t)
 
