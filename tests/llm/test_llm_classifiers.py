@@ -175,3 +175,46 @@ def test_extraction_edges(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (2, "", "t"), (3, "<p>x</p>", None)], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html.extract(df).collect()) == [(1, ""), (2, ""), (2, ""), (3, "x")]
     assert html.extract(df.where("false")).count() == 0
+
+
+def test_long_runs_are_scored_over_all_cuts():
+    """Runs beyond the batch length against a plain forward pass in log space, blocks of starts included."""
+    import math
+    import random
+
+    import numpy as np
+    import public_tokenizers as P
+
+    pieces = language.Pieces(P.path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    prob = np.random.default_rng(1).dirichlet(np.ones(pieces.size) * 0.05, 2).T
+    prob = np.maximum(np.vstack([prob, np.zeros(2)]), 0)
+    prob[:-1] = np.maximum(prob[:-1], language.FLOOR)
+    words = [language.MARK + "".join(rng.choice("aeinrstэд漢字") for _ in range(n)) for n in (10, 31, 32, 90, 300)]
+
+    def number(text):
+        return int(pieces.find(np.array([pieces._hash(text)], dtype=np.uint64))[0])
+
+    for w in words:
+        alpha = [[0.0, 0.0]]
+        for e in range(1, len(w) + 1):
+            sums = []
+            for lang in range(2):
+                terms = []
+                for k in range(1, min(e, pieces.longest) + 1):
+                    p = number(w[e - k:e])
+                    q = language.UNKNOWN if p == pieces.size and k == 1 else float(prob[p, lang])
+                    if q > 0:
+                        terms.append(alpha[e - k][lang] + math.log(q))
+                top = max(terms)
+                sums.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+            alpha.append(sums)
+        np.testing.assert_allclose(language.word_scores(pieces, [w], prob)[0], alpha[-1], rtol=1e-9)
+        np.testing.assert_allclose(language.long_score(pieces, w, prob, block=7), alpha[-1], rtol=1e-9)
+
+
+def test_digits_and_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "plain words of a text", "en"), (2, "² ½ Ⅷ ① 12", None), (3, "漢字" * 200, None)], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs.select("doc_id", "text"), model).collect()}
+    assert got == {1: "en", 2: "und", 3: "en"}

@@ -11,7 +11,9 @@ language, the first by a hash of their ids.  Scoring reads every whole text.
 
 Words are runs of letters, lower-cased, with the vocabulary's word-start mark.
 A character outside the vocabulary is a piece of a small fixed probability, so
-every word can be cut; runs of over 31 letters are scored in stretches of 31.
+every word can be cut.  Runs of any length are scored over all their cuts: beyond
+31 letters by a forward pass that keeps the last alphas, rescaled on the way.
+Fitting alone cuts such runs into stretches of 31 letters.
 
 Defined cases: null text and text without a letter have the language ``und``
 and score 0; null languages and texts are not learnt from; without any learnt
@@ -20,10 +22,10 @@ language all texts are ``und``; equal scores go to the first language by name.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,8 +34,8 @@ from .common import ship
 
 ship(__name__)
 
-LETTERS = re.compile(r"[^\W\d_]+")
-STRETCH = 31
+LETTERS = regex.compile(r"\p{L}+")
+SHORT = 31       # longest run that is scored in a batch of equal lengths
 MARK = "▁"
 UNKNOWN = 1e-6   # probability of a character that no piece covers
 BROADCAST_BYTES = 8_000_000   # largest list of sampled ids that is broadcast
@@ -129,21 +131,74 @@ def _forward(spans: dict, width: int, prob):
     return alpha
 
 
+def long_score(pieces: Pieces, word: str, prob, block: int = 4096):
+    """Log probability of one word of any length per language.
+
+    Only the alphas of the last ``longest`` places are kept, relative to the
+    current one; pieces are looked up for a block of starts at a time.
+    """
+    import numpy as np
+
+    none, reach = len(prob) - 1, pieces.longest
+    chars = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    mul, n = np.uint64(0x9E3779B97F4A7C15), len(word)
+    ring = np.zeros((reach, prob.shape[1]))            # alphas of places e - 1, e - 2, ...
+    ring[0] = 1
+    scale = np.zeros(prob.shape[1])
+    found = np.full((reach, 0), none, dtype=np.int64)  # found[k - 1, s]: the piece of length k that starts at s
+    first = 0                                          # the start of found's first column
+    lengths = np.arange(reach)
+    for e in range(1, n + 1):
+        if e - 1 - first >= found.shape[1]:
+            start = first + found.shape[1]
+            stop = min(n, start + block)
+            padded = np.concatenate([chars[start:stop + reach], np.zeros(max(0, stop + reach - n), np.uint64)])
+            h, more = np.zeros(stop - start, np.uint64), np.full((reach, stop - start), none, dtype=np.int64)
+            for k in range(reach):
+                h = (h + padded[k:k + stop - start]) * mul
+                h ^= h >> np.uint64(29)
+                fits = np.arange(start, stop) + k < n
+                more[k, fits] = pieces.find(h)[fits]
+            keep = max(0, found.shape[1] - reach)      # starts that later places still reach back to
+            found, first = np.concatenate([found[:, keep:], more], axis=1), first + keep
+        at = e - 1 - lengths                           # starts of pieces of length 1, 2, ... that end here
+        live = at >= 0
+        p = found[lengths[live], at[live] - first]
+        weight = prob[p]
+        if p[0] == none:
+            weight[0] = UNKNOWN
+        a = (ring[live] * weight).sum(axis=0)
+        scale += np.log(a)
+        ring[1:] = ring[:-1] / a
+        ring[0] = 1
+    return scale
+
+
 def word_scores(pieces: Pieces, words: list[str], prob):
     """Log probability of every word per language; prob is (pieces + 1) x languages."""
     import numpy as np
 
     out = np.zeros((len(words), prob.shape[1]))
-    for at, chars in _by_length(words):
-        out[at] = np.log(_forward(pieces.spans(chars), chars.shape[1], prob)[-1])
+    short = [i for i, w in enumerate(words) if len(w) <= SHORT + 1]
+    for at, chars in _by_length([words[i] for i in short]):
+        out[np.array(short)[at]] = np.log(_forward(pieces.spans(chars), chars.shape[1], prob)[-1])
+    for i, w in enumerate(words):
+        if len(w) > SHORT + 1:
+            out[i] = long_score(pieces, w, prob)
     return out
 
 
+def marked_words(text: str) -> list[str]:
+    """Runs of letters, lower-cased, with the word-start mark."""
+    return [MARK + w for w in LETTERS.findall(text.lower())]
+
+
 def stretches(text: str) -> list[str]:
+    """``marked_words`` for fitting, long runs cut."""
     found = LETTERS.findall(text.lower())
-    if found and max(map(len, found)) > STRETCH:
-        return [p for w in found for p in ([MARK + w] if len(w) <= STRETCH else
-                                           [MARK + w[:STRETCH], *(w[i:i + STRETCH] for i in range(STRETCH, len(w), STRETCH))])]
+    if found and max(map(len, found)) > SHORT:
+        return [p for w in found for p in ([MARK + w] if len(w) <= SHORT else
+                                           [MARK + w[:SHORT], *(w[i:i + SHORT] for i in range(SHORT, len(w), SHORT))])]
     return [MARK + w for w in found]
 
 
@@ -249,7 +304,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", lang_col: str
             for a in range(0, len(texts), 500):  # words of 500 texts are scored together
                 numbered, new = [], []
                 for t in texts[a:a + 500]:
-                    ws = stretches(t) if t else []
+                    ws = marked_words(t) if t else []
                     numbered.append(np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws)))
                 if len(known) > filled:
                     new = list(known)[filled:] if filled == 0 else _tail(known, filled)
