@@ -149,3 +149,28 @@ def test_fingerprint_query_against_plain_python(spark, sf_dir):
     for i in order:
         same.setdefault(docs[i], set()).add(got[i].fingerprint)
     assert all(len(v) == 1 for v in same.values())
+
+
+def test_preference_records_assemble_pairs(spark):
+    """One record per pair: prompt once, completions with the trained spans at their places."""
+    from tidewatch.llm import chat
+
+    long_text = "é\U0001F600 word " * 3000
+    turns = [(1, s, i, r, t) for s, tail in (("chosen", "good"), ("rejected", "bad"))
+             for i, r, t in [(0, "system", "be kind"), (1, "user", long_text), (2, "assistant", "hm"), (3, "user", "and?"), (4, "assistant", tail)]]
+    turns += [(2, s, 0, "user", "same") for s in ("chosen", "rejected")] + [(None, "chosen", 0, "assistant", None), (None, "rejected", 0, "user", "x")]
+    turns += [(3, "chosen", i, "assistant", "t") for i in range(30)]
+    rows = chat.preference_turns(spark.createDataFrame(turns, "pair_id long, side string, turn int, role string, text string").repartition(5))
+    got = {r.pair_id: r for r in chat.preference_records(rows, most_turns=20).collect()}
+    assert set(got) == {1, 2, None}   # the pair of 30 turns stays in turn form
+    one = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    a = got[1]
+    assert a.prompt == one("system", "be kind") + one("user", long_text) + one("assistant", "hm") + one("user", "and?")
+    assert (a.chosen, a.rejected) == (one("assistant", "good"), one("assistant", "bad"))
+    for text, spans, said in ((a.chosen, a.chosen_spans, "good"), (a.rejected, a.rejected_spans, "bad")):
+        assert [text[s.start:s.start + s.chars] for s in spans] == [f"{said}<|end|>\n"]
+    assert (got[2].prompt, got[2].chosen, got[2].rejected, got[2].chosen_spans) == (one("user", "same"), "", "", [])
+    assert [got[None].chosen[s.start:s.start + s.chars] for s in got[None].chosen_spans] == ["<|end|>\n"] and got[None].rejected_spans == []
+    whole = {r.pair_id: r for r in chat.preference_records(rows).collect()}[3]
+    assert len(whole.chosen_spans) == 30 and all(whole.chosen[s.start:s.start + s.chars] == "t<|end|>\n" for s in whole.chosen_spans)
+    assert chat.preference_records(rows.where("false")).count() == 0

@@ -75,3 +75,31 @@ def swapped_answers(turns: DataFrame, id_col: str = "conv_id", role: str = "assi
                           F.lit(role).alias("role"), F.col("swap_text").alias("text"))
     return t.select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text") \
         .unionByName(kept).unionByName(swapped)
+
+
+def preference_records(rendered: DataFrame, most_turns: int = 1000) -> DataFrame:
+    """The training record of every pair of ``preference_turns``: (pair_id, prompt, chosen, rejected, chosen_spans, rejected_spans).
+
+    Texts are the segments' turns in order, the prompt once; spans are the trained
+    (start, chars) of a completion in code points.  A side without a turn after the
+    prompt is an empty text.  Pairs of more than ``most_turns`` rendered turns stay in
+    turn form alone, so no row grows without bound.
+    """
+    sizes = rendered.groupBy(F.col("pair_id").alias("p")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_turns)
+    there = rendered.join(sizes, F.col("pair_id").eqNullSafe(F.col("p")))
+    turn = F.struct("turn", "place", "rendered", F.col("mask_start").alias("start"), F.col("mask_chars").alias("chars"))
+    parts = there.groupBy("pair_id", "segment").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    span = "struct<start:bigint,chars:bigint>"
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+
+    def add(so_far, x):
+        own = F.array(F.struct((so_far["at"] + x["start"]).alias("start"), x["chars"].alias("chars")))
+        more = F.when(x["chars"] > 0, F.concat(so_far["out"], own)).otherwise(so_far["out"])
+        return F.struct((so_far["at"] + F.char_length(x["rendered"])).alias("at"), more.alias("out"))
+
+    done = parts.select("pair_id", "segment", F.array_join(F.transform("t", lambda x: x["rendered"]), "").alias("text"),
+                        F.aggregate("t", zero, add)["out"].alias("spans"))
+    one = lambda s, c: F.max(F.when(F.col("segment") == s, F.col(c)))
+    text = lambda s: F.coalesce(one(s, "text"), F.lit("")).alias(s)
+    spans = lambda s: F.coalesce(F.max_by("spans", F.when(F.col("segment") == s, 1)), F.array().cast(f"array<{span}>")).alias(f"{s}_spans")
+    return done.groupBy("pair_id").agg(text("prompt"), text("chosen"), text("rejected"), spans("chosen"), spans("rejected"))
