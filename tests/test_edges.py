@@ -55,3 +55,31 @@ def test_surge_without_any_fallback_uses_fifty(spark):
     assert r.original_precipitation == 50.0 and r.scenario_precipitation == 200.0
     new = aug.where(F.col("date") == "3/2/2024").first()
     assert new.precip_3day_avg == 500.0 and new.soil_moisture == 1.0 and new.water_area_km2 == 0.0
+
+
+def test_written_tables_are_dropped_alone(spark, tmp_path):
+    from tidewatch.session import cut_lineage, drop_table
+    from tidewatch.sources import store
+
+    a, b = cut_lineage(spark.range(5), "a"), cut_lineage(spark.range(6), "b")
+    path = a.inputFiles()[0]
+    drop_table(a)
+    assert not store.exists(spark, path) and b.count() == 6
+    spark.range(3).write.parquet(str(tmp_path / "given"))
+    given = spark.read.parquet(str(tmp_path / "given"))
+    drop_table(given)  # not a table of this application
+    assert given.count() == 3
+
+
+def test_running_sum_with_extra_columns_out_of_order(spark):
+    """Carries with more keys than ranges: the extra column does not rise with the order."""
+    from tidewatch.operators import timeseries
+
+    rows = [(i, i % 37, float(i % 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, x long, v double").withColumn("k", F.lit(1))
+    got = {r.id: r.s for r in timeseries.ordered_scan(df, ["k"], ["id"], [], [("v", ["x"], "s")]).collect()}
+    total, want = {}, {}
+    for i, x, v in rows:
+        total[x] = total.get(x, 0.0) + v
+        want[i] = total[x]
+    assert got == want

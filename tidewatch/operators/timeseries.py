@@ -88,6 +88,7 @@ def last_value(df: DataFrame, keys: list[str], value: str, order_cols: list[str]
 # --- ordered scan over range partitions (hot keys) ---------------------------------------------
 
 SCAN_ROWS = 2_000_000   # rows a range partition holds about
+CARRY_ROWS = 500_000    # carry rows up to which a table without a proven bound is broadcast
 
 
 def ordered_scan(df: DataFrame, keys: list[str], order_cols: list[str], lag_cols: list[str] = (),
@@ -101,7 +102,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order_cols: list[str], lag_cols
     Windows run per (partition, key) slice; each slice's first row takes its
     previous row from the last row of the key in an earlier partition, and
     running sums add the totals of earlier partitions.  Both carries have a row
-    only for a key that goes on from an earlier partition: one key per partition.
+    only for a key that goes on from an earlier partition: one key per partition
+    (sums with extra columns that do not rise with the order may have more).
 
     ``sums``: (value column, extra partition columns, output column), e.g.
     ("rain", ["year"], "cumulative_rain") for a running sum per (key, year); the
@@ -124,14 +126,18 @@ def ordered_scan(df: DataFrame, keys: list[str], order_cols: list[str], lag_cols
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = out.withColumn(f"_local_{name}", F.sum(value).over(w))
 
-    def attach(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-        """Left join with a carry table, nulls equal (at most one key per partition: small enough to broadcast)."""
+    def attach(big: DataFrame, small: DataFrame, on: list[str], bounded: bool) -> DataFrame:
+        """Left join with a carry table, nulls equal.  Broadcast where it has one key per partition at most, or
+        is found to have few rows."""
+        if not bounded:
+            small = cut_lineage(small, "carry")
+            bounded = small.count() <= CARRY_ROWS
         named = small.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in small.columns if c not in on])
         same = None
         for c in on:
             term = F.col(c).eqNullSafe(F.col(f"_on_{c}"))
             same = term if same is None else same & term
-        return big.join(F.broadcast(named), same, "left").drop(*[f"_on_{c}" for c in on])
+        return big.join(F.broadcast(named) if bounded else named, same, "left").drop(*[f"_on_{c}" for c in on])
 
     if lag_cols:
         last = ranged.groupBy("_pid", *keys).agg(
@@ -139,7 +145,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order_cols: list[str], lag_cols
             .alias("_last"))
         carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_pid"))) \
             .drop("_last").where(F.col("_carry").isNotNull())
-        out = attach(out, carry, ["_pid", *keys])
+        out = attach(out, carry, ["_pid", *keys], True)
         out = out.withColumns({f"{c}{suffix}": F.when(F.col("_rn") == 1, F.col("_carry")[c])
                                .otherwise(F.col(f"_local_{c}")) for c in lag_cols}).drop("_carry")
     for value, extra, name in sums:
@@ -147,7 +153,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order_cols: list[str], lag_cols
         earlier = Window.partitionBy(*keys, *extra).orderBy("_pid") \
             .rowsBetween(Window.unboundedPreceding, -1)
         tot = tot.withColumn(f"_off_{name}", F.sum("_part").over(earlier)).drop("_part").where(F.col(f"_off_{name}").isNotNull())
-        out = attach(out, tot, ["_pid", *keys, *extra])
+        out = attach(out, tot, ["_pid", *keys, *extra], not extra)
         local, off = F.col(f"_local_{name}"), F.col(f"_off_{name}")
         out = out.withColumn(name, F.when(local.isNotNull() | off.isNotNull(),
                                           F.coalesce(local, F.lit(0)) + F.coalesce(off, F.lit(0)))).drop(f"_off_{name}")

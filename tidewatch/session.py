@@ -38,12 +38,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Where the session names none, a folder in the session's warehouse, which
-    drivers and executors share as well.
+    Where a local session names none, a folder in its warehouse.  On a cluster the
+    setting is required: a folder of the driver's machine is not the executors'.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -72,6 +74,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}"
 
 
+def drop_table(df: DataFrame) -> None:
+    """Remove the files of a table that ``cut_lineage`` wrote, once nothing reads it any more."""
+    spark, own = df.sparkSession, _own_folder(df.sparkSession)
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if jvm.org.apache.hadoop.fs.Path(own).toUri().getPath() + "/" in path.toUri().getPath():
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the intermediate tables this application wrote; frames read from them are dead afterwards."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
