@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import dart_minhash, language, mixing, packing, toxicity
 from tidewatch.llm.common import table
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, drop_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_table(before)  # consumed: its result is written
+        before = docs
     return docs
