@@ -294,14 +294,13 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, words: int = 5,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-                    bands: int = 20, rows: int = 4, words: int = 5, pivot_rounds: int = 6) -> DataFrame:
+                    bands: int = 20, rows: int = 4, words: int = 5, pivot_rounds: int = 4) -> DataFrame:
     """(id, component, links): class of every id that has a word; ids in no class are their own.
 
     ``links`` counts the verified links of an id's text.  In each pivot round a
     bucket has one pivot (the member of lowest rank for that round), so links
-    grow with the members.  From the third round on only buckets with members of
-    different classes take part, and the rounds end with one that links nothing
-    or after ``pivot_rounds``.
+    grow with the members.  From the third round on only members take part that
+    are not known to be of their pivot's class.
     """
     spark = docs.sparkSession
     with batch_rows(spark, 1000):
@@ -323,24 +322,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with batch_rows(spark, 200):
             return cut_lineage(verify(pairs, texts, threshold, words), "links")
 
-    def placed_members() -> DataFrame:
-        """Members of buckets that hold several classes, with their classes."""
-        placed = member.join(components(links, "a", "b"), "id", "left").select("id", "size", "bucket", F.coalesce("component", "id").alias("class"))
+    def near_labels() -> DataFrame:
+        """(id, label): the least member within two links; equal labels are of one class."""
+        both = links.select("a", "b").union(links.select("b", "a"))
+        one = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("label"))
+        one = cut_lineage(one, "labels")
+        two = both.join(one.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
+        return one.join(two, one.id == two.a).select("id", F.least("label", "low").alias("label"))
+
+    def unsettled_members(classes: DataFrame) -> DataFrame:
+        """(id, size, bucket, class) of buckets whose members are not all of one class."""
+        placed = member.join(classes.toDF("id", "found"), "id", "left").select("id", "size", "bucket", F.coalesce("found", "id").alias("class"))
         placed = cut_lineage(placed, "classes")
         split = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-        return cut_lineage(placed.join(cut_lineage(split, "split"), "bucket"), "unsettled")
+        return placed.join(cut_lineage(split, "split"), "bucket")
 
-    tried = links = unsettled = None
+    tried = links = None
     for turn in range(pivot_rounds):
-        rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), F.col("id"), F.col("size").alias("n"))
+        lowest = F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), F.col("id"), F.col("size").alias("n"))
         if turn < 2:
-            pivots = member.groupBy("bucket").agg(F.min(rank).alias("p"))
+            pivots = member.groupBy("bucket").agg(F.min(lowest).alias("p"))
             pairs = member.join(pivots, "bucket").where(F.col("id") != F.col("p.id"))
-        else:  # the pivot of lowest rank; members of its class are settled with it
-            unsettled = placed_members()
-            pivots = cut_lineage(unsettled.groupBy("bucket").agg(F.min_by(F.struct("id", "size", "class"), F.xxhash64("id", F.lit(turn))).alias("q")), "pivots")
-            pivots = pivots.select("bucket", F.struct(F.col("q.id").alias("id"), F.col("q.size").alias("n"), F.col("q.class").alias("class")).alias("p"))
-            pairs = unsettled.join(pivots, "bucket").where(F.col("class") != F.col("p.class"))
+        else:  # members known to be of the pivot's class are settled with it
+            unsettled = cut_lineage(unsettled_members(near_labels()), "unsettled")
+            pivots = unsettled.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), F.col("id"), F.col("size").alias("n"), F.col("class"))).alias("p"))
+            pairs = unsettled.join(cut_lineage(pivots, "pivots"), "bucket").where(F.col("class") != F.col("p.class"))
         pairs = pairs.select("id", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("n")) \
             .where(F.least("size", "n") >= low * F.greatest("size", "n")) \
             .select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -348,11 +354,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         good = verified(pairs)
         tried = pairs if tried is None else tried.union(pairs)
         links = good if links is None else links.union(good)
-        if turn >= 2 and good.isEmpty():
-            break
 
     # members of one bucket that are still in different classes: exact join on rare shingles
-    unsettled = placed_members().select("id", "class").distinct()
+    unsettled = cut_lineage(unsettled_members(components(links, "a", "b")).select("id", "class").distinct(), "unsettled")
     rest = cut_lineage(untried(rare_shingle_pairs(texts, unsettled, threshold, words)), "pairs")
     more = verified(rest)
     links = links.union(more)
