@@ -30,6 +30,9 @@ def test_training_run_and_artifacts(spark, sf_dir):
     assert audit and all(r.risk_level_en == "Critical" for r in audit)  # 500 mm, saturated, water visible
     out = tempfile.mkdtemp(prefix="tidewatch-artifacts-")
     training.save_artifacts(result, out)
+    raw = fixture.readings(spark, sf_dir).count()
+    assert spark.read.parquet(os.path.join(out, "readings_imputed")).count() == raw
+    assert spark.read.parquet(os.path.join(out, "readings_augmented")).count() == raw + 2  # one surge row a district
     meta = json.load(open(os.path.join(out, "model_meta.json")))
     assert meta["selected_model"] == result["selected_model"]
     assert spark.read.parquet(os.path.join(out, "region_population")).count() > 0
