@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import learn, metrics
+from tidewatch.operators import forest, learn, metrics, splits
 from tidewatch.plans import baseline, clean, q_audit, q_learn, scenarios, training
 from tidewatch.plans.oracle import FAULTY_DISTRICT, SURGE_DISTRICTS
 from tidewatch.sources import fixture
@@ -72,3 +72,31 @@ def test_audit_runs_after_the_scenario_edits(spark, sf_dir, monkeypatch):
     rate = cleaned.agg(F.avg(F.col("flood_event").cast("double"))).first()[0]
     assert abs(one.flood_event_rate - rate) < 1e-5
     assert q_audit.q_target_correlation_scenarios(spark, sf_dir).count() == 12
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_permutation_importance_leaves_no_tables_and_is_that_of_all_columns_at_once(spark):
+    import os
+
+    from tidewatch.session import checkpoint_dir
+
+    df = spark.range(400).select(F.col("id").alias("reading_id"), (F.col("id") % 3 == 0).cast("int").alias("label"),
+                                 (F.col("id") % 7 + (F.col("id") % 3)).cast("double").alias("a"),
+                                 F.when(F.col("id") % 11 > 0, (F.col("id") % 11).cast("int")).alias("b"), F.concat(F.lit("t"), F.col("id") % 4).alias("c"))
+    model = learn.fit(df, learn.Features(["a", "b"], ["c"]), TINY)
+    model.trees
+    folder = f"{checkpoint_dir(spark)}/tidewatch/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(folder))
+    got = {r.feature: (r.importance_mean, r.importance_std) for r in learn.permutation_importance(model, df, ["a", "b", "c"], 3).collect()}
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("permuted-test-")
+    base = learn.predict(model, df).where("label = prediction").count() / 400
+    moved = learn.permuted_values(df, ["a", "b", "c"], 3)
+    for c in ("a", "b", "c"):
+        mine = moved.where(F.col("feature") == c).select(F.col("id").alias("reading_id"), "repeat", F.col("text" if c == "c" else "number").alias("_new"))
+        rows = mine.join(df, "reading_id").withColumn(c, F.col("_new").cast(df.schema[c].dataType))
+        acc = [r.a for r in learn.predict(model, rows).groupBy("repeat").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).collect()]
+        assert len(acc) == 3 and abs(got[c][0] - (base - sum(acc) / 3)) < 1e-12
