@@ -74,3 +74,17 @@ def test_brackets_of_large_groups_hold_every_quantile(spark):
                 mine = [row["xy".index(c) + 1] for row in rows if not groups or row[0] == r.g]
                 mine = [v for v in mine if v is not None and not math.isnan(v)]
                 assert len(mine) > quantiles.BRACKET and abs(r[name] - want(mine, p)) < 1e-9 or r[name] == want(mine, p), (name, p)
+
+
+def test_bracket_values_are_found_in_long_form(spark, monkeypatch):
+    """No condition per column side by side: with many columns such a method was too long to compile."""
+    from tidewatch.operators import selection
+
+    seen, ranks = [], selection.value_ranks
+    monkeypatch.setattr(selection, "value_ranks", lambda df, *a: seen.append(df) or ranks(df, *a))
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), *[((F.col("id") * (7 + i)) % 997).cast("double").alias(f"c{i}") for i in range(20)])
+    rows = quantiles.medians(df, [f"c{i}" for i in range(20)], ["g"]).collect()
+    exact = df.groupBy("g").agg(*[F.expr(f"percentile(c{i}, 0.5)").alias(f"c{i}") for i in range(20)]).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, exact))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" in plan and "filter(array" not in plan
