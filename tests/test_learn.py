@@ -100,3 +100,16 @@ def test_permutation_importance_leaves_no_tables_and_is_that_of_all_columns_at_o
         rows = mine.join(df, "reading_id").withColumn(c, F.col("_new").cast(df.schema[c].dataType))
         acc = [r.a for r in learn.predict(model, rows).groupBy("repeat").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).collect()]
         assert len(acc) == 3 and abs(got[c][0] - (base - sum(acc) / 3)) < 1e-12
+
+
+def test_stratified_cuts_are_broadcast(spark):
+    df = spark.range(200).select("id", (F.col("id") % 2).alias("label"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = splits.stratified_split(df, "label", "id")
+        text = out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    first = next(line for line in text.splitlines() if "Join" in line)
+    assert "BroadcastHashJoin" in first and out.where("is_test").count() == 40
