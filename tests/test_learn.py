@@ -102,6 +102,11 @@ def test_permutation_importance_leaves_no_tables_and_is_that_of_all_columns_at_o
         assert len(acc) == 3 and abs(got[c][0] - (base - sum(acc) / 3)) < 1e-12
 
 
+def test_bootstrap_filter_makes_the_digest_once(spark):
+    counted = forest.bootstrap_counts(spark.range(50).select("id"), 4, 42).where("times > 0")
+    assert _plan(counted).count("md5(") == 1
+
+
 def test_stratified_cuts_are_broadcast(spark):
     df = spark.range(200).select("id", (F.col("id") % 2).alias("label"))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
