@@ -83,3 +83,23 @@ def test_running_sum_with_extra_columns_out_of_order(spark):
         total[x] = total.get(x, 0.0) + v
         want[i] = total[x]
     assert got == want
+
+
+def test_target_correlations_of_many_columns_in_long_form(spark):
+    """As many columns as the model frame has: one short aggregate per column's rows, nulls and constants as before."""
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators import audit
+
+    df = spark.range(500).select(F.when(F.col("id") % 9 > 0, (F.col("id") % 5 == 0).cast("int")).alias("y"), F.lit(3).alias("same"),
+                                 F.lit(None).cast("double").alias("none"),
+                                 *[F.when((F.col("id") + i) % 13 > 0, (F.col("id") * (i + 3)) % 101).alias(f"c{i}") for i in range(30)])
+    out = audit.target_correlations(df, "y", exclude=["c0"], top=40)
+    got = [(r.feature, r.abs_corr) for r in out.collect()]
+    want = {f"c{i}": df.agg(F.abs(F.corr(F.col(f"c{i}").cast("double"), F.col("y").cast("double")))).first()[0] for i in range(1, 30)}
+    assert got[-2:] == [("none", None), ("same", None)] and len(got) == 31
+    assert [v for _, v in got[:-2]] == sorted((v for _, v in got[:-2]), reverse=True)
+    assert all(abs(want[c] - v) < 1e-9 for c, v in got[:-2])
+    assert "Expand" in out._jdf.queryExecution().optimizedPlan().toString()
+    flat = audit.target_correlations(df.withColumn("y", F.lit(1)), "y", top=40)
+    assert {r.abs_corr for r in flat.collect()} == {None} and audit.target_correlations(df.limit(0), "y", top=40).count() == 32

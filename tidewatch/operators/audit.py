@@ -33,14 +33,18 @@ def target_correlations(df: DataFrame, target: str, exclude: list[str] = (), top
     """
     cols = [c for c in quality.columns_by_type(df, numeric=True) if c != target and c not in exclude]
     t = F.col(target).cast("double")
-    pair = {c: F.when(t.isNotNull(), F.col(c).cast("double")) for c in cols}
-    spread = df.agg(*[(F.min(pair[c]) == F.max(pair[c])).alias(c) for c in cols],
-                    (F.min(t) == F.max(t)).alias("_target_constant")).first()
-    const = {c for c in cols if spread[c] is None or spread[c]} | (set(cols) if spread["_target_constant"] else set())
-    exprs = [(F.lit(None).cast("double") if c in const else F.abs(F.corr(F.col(c).cast("double"), t))).alias(c)
-             for c in cols]
-    wide = df.agg(*exprs)
-    long = wide.unpivot([], cols, "feature", "abs_corr")
+
+    def pairs(cols: list[str]) -> DataFrame:
+        """A column's value and the target's per row: all columns' sums side by side make a method too long to compile."""
+        return df.select(t.alias("_t"), *[F.col(c).cast("double").alias(c) for c in cols]).where(F.col("_t").isNotNull()) \
+            .unpivot(["_t"], cols, "feature", "_x").where(F.col("_x").isNotNull())
+
+    spread = pairs(cols).groupBy("feature").agg(
+        (F.min("_x") < F.max("_x")).alias("varies"), (F.min("_t") < F.max("_t")).alias("target_varies")).collect()  # a row per column
+    live = sorted(r["feature"] for r in spread if r["varies"] and r["target_varies"])
+    long = df.sparkSession.createDataFrame([(c, None) for c in cols if c not in live], "feature string, abs_corr double")
+    if live:
+        long = long.unionByName(pairs(live).groupBy("feature").agg(F.abs(F.corr("_x", "_t")).alias("abs_corr")))
     return long.orderBy(F.col("abs_corr").isNull(), F.col("abs_corr").desc(), F.col("feature")).limit(top)
 
 
