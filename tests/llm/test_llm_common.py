@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, with_next
+from tidewatch.llm import common
+from tidewatch.llm.common import components, joined_components, with_next
 
 
 def union_find(edges):
@@ -35,6 +36,25 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_star_is_contracted_in_one_round(spark, monkeypatch):
+    written, write = [], common.cut_lineage
+    monkeypatch.setattr(common, "cut_lineage", lambda df, name: written.append(name) or write(df, name))
+    edges = [(500, 500 + i) for i in range(1, 300)] + [(i, 2000) for i in range(1000, 1300)]
+    assert {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()} == union_find(edges)
+    assert written.count("edges") == 2  # the edges given and what one round leaves
+
+
+def test_added_edges_join_known_components(spark):
+    rng = random.Random(8)
+    old = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)]
+    new = [(rng.randrange(400), rng.randrange(400)) for _ in range(40)]
+    old, new = ([e for e in x if e[0] != e[1]] for x in (old, new))
+    classes = components(spark.createDataFrame(old, "u long, v long"))
+    for more in (new, old[:5], []):
+        found = joined_components(classes, spark.createDataFrame(more + [(3, 3), (None, 5)], "u long, v long"))
+        assert sorted((r.id, r.component) for r in found.collect()) == sorted(union_find(old + more).items())
+
+
 def test_next_row_wraps_over_ranges(spark):
     rng = random.Random(5)
     ids = rng.sample(range(-10 ** 12, 10 ** 12), 300) + [2 ** 62, 2 ** 62 + 1]

@@ -170,3 +170,14 @@ def test_repeated_rows_in_a_large_unsettled_bucket(spark):
     got = {r.id: r for r in dm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r.component for i, r in got.items()} == {i: i - (i > 300 and i % 2) for i in docs}
     assert {i: r.links for i, r in got.items()} == {i: int(i >= 300) for i in docs}
+
+
+def test_first_rounds_are_verified_together_and_empty_steps_left_out(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    docs = {i: " ".join(words[:59] + [f"end{i}"]) for i in range(40)} | {100 + i: f"other text {i} alone here {i}" for i in range(20)}
+    written, write = [], dm.cut_lineage
+    monkeypatch.setattr(dm, "cut_lineage", lambda df, name: written.append(name) or write(df, name))
+    rows = dm.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    want = union_find(brute_links(docs))
+    assert {r.id: r.component for r in rows} == {i: want.get(i, i) for i in docs}
+    assert written.count("links") <= 3 and "shingles" not in written  # three checks of pairs, nothing left for the exact join

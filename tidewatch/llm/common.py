@@ -86,33 +86,58 @@ def with_next(df: DataFrame, order_col: str, tie_col: str, carry: dict[str, str]
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Connected components of an undirected edge list: (id, component = smallest id).
 
-    Contraction rounds: every node moves to the neighbour (or itself) of lowest
-    random rank of the round, edges are relabelled and those inside one node go.
-    A constant share of the nodes with edges disappears per round, so rounds grow
-    with the logarithm of the number of nodes.  Only groupings with map-side
-    minima and equi-joins; each round is written to the checkpoint folder.
-    Null ends and self loops are ignored; nodes without an edge have no row.
+    Contraction rounds: every node moves to the neighbour (or itself) of most
+    neighbours, ties by a random rank of the round, and on to where that one moves;
+    edges are relabelled and those inside one node go.  A node that stays has at
+    least as many neighbours as any of them, so at least half of the nodes with
+    edges disappear per round, and a star is one node after the first.  Only
+    groupings with map-side minima and equi-joins; each round is written to the
+    checkpoint folder.  Null ends and self loops are ignored; nodes without an edge
+    have no row.
     """
     e = edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")) \
         .where("u is not null and v is not null and u < v").distinct()
     e = cut_lineage(e, "edges")
-    labels = cut_lineage(e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
-                         .withColumn("label", F.col("id")), "labels")
+    labels = None
     turn = 0
     while not e.isEmpty():
         turn += 1
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("id"))
+        rank = lambda n, c: F.struct((-F.col(n)).alias("n"), F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("id"))
         both = e.union(e.select("v", "u"))
-        step = both.groupBy("u").agg(F.min(rank("v")).alias("best")) \
-            .select(F.col("u").alias("node"), F.least(F.col("best"), rank("u"))["id"].alias("to"))
-        step = cut_lineage(step.where("node <> to"), "steps")
+        degree = both.groupBy(F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        step = both.join(degree, "v").groupBy("u").agg(F.count(F.lit(1)).alias("own"), F.min(rank("n", "v")).alias("best")) \
+            .select(F.col("u").alias("node"), F.least(F.col("best"), rank("own", "u"))["id"].alias("to"))
+        step = cut_lineage(step, "steps")
+        on = step.where("node <> to").select(F.col("node").alias("to"), F.col("to").alias("on"))
+        step = cut_lineage(step.join(on, "to", "left").select("node", F.coalesce("on", "to").alias("to")), "steps")
         a = step.select(F.col("node").alias("u"), F.col("to").alias("u2"))
         b = step.select(F.col("node").alias("v"), F.col("to").alias("v2"))
-        moved = e.join(a, "u", "left").select(F.coalesce("u2", "u").alias("u"), "v") \
-            .join(b, "v", "left").select("u", F.coalesce("v2", "v").alias("v"))
-        labels = cut_lineage(labels.join(step, labels.label == step.node, "left")
-                             .select("id", F.coalesce("to", "label").alias("label")), "labels")
+        moved = e.join(a, "u").join(b, "v").select(F.col("u2").alias("u"), F.col("v2").alias("v"))  # every end has a step
+        if labels is None:
+            labels = step.select(F.col("node").alias("id"), F.col("to").alias("label"))
+        else:
+            labels = cut_lineage(labels.join(step, labels.label == step.node, "left")
+                                 .select("id", F.coalesce("to", "label").alias("label")), "labels")
         e = cut_lineage(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
                         .distinct(), "edges")
+    if labels is None:  # no edge at all
+        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     least = labels.groupBy("label").agg(F.min("id").alias("component"))
     return labels.join(least, "label").select("id", "component")
+
+
+def joined_components(classes: DataFrame, edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """``components`` of a graph whose ``classes`` (id, component) are known, with further ``edges`` added.
+
+    The edges are lifted to the classes, and only those between unlike ones are contracted.
+    """
+    ends = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
+    a = classes.select(F.col("id").alias("u"), F.col("component").alias("u2"))
+    b = classes.select(F.col("id").alias("v"), F.col("component").alias("v2"))
+    ends = cut_lineage(ends.join(a, "u", "left").join(b, "v", "left").select("u", "v", F.coalesce("u2", "u").alias("cu"),
+                                                                            F.coalesce("v2", "v").alias("cv")), "lifted")
+    if ends.isEmpty():
+        return classes
+    known = classes.union(ends.select("u", "cu").union(ends.select("v", "cv"))).distinct()
+    over = components(ends.select("cu", "cv"), "cu", "cv").toDF("component", "wide")
+    return known.join(over, "component", "left").select("id", F.coalesce("wide", "component").alias("component"))

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.session import cut_lineage
 
-from .common import batch_rows, components, ship
+from .common import batch_rows, components, joined_components, ship
 
 ship(__name__)
 
@@ -270,7 +270,6 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, words: int = 5,
     """
     pairs = pairs.select("a", "b")
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("copies"))
-    many = cut_lineage(many, "partners")
     right = texts.join(many.hint("merge"), texts.id == many.b).select("b", F.col("text").alias("text_b"), F.explode(
         F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     left = pairs.join(many, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")) \
@@ -299,7 +298,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``links`` counts the verified links of an id's text.  In each pivot round a
     bucket has one pivot (the member of lowest rank for that round), so links
-    grow with the members.  From the third round on only members take part that
+    grow with the members.  The first two rounds depend on nothing found before
+    and are verified together; from the third round on only members take part that
     are not known to be of their pivot's class.
     """
     spark = docs.sparkSession
@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def untried(pairs: DataFrame) -> DataFrame:
         if tried is None:
             return pairs
-        return pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        return pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with batch_rows(spark, 200):
@@ -337,30 +337,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         split = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
         return placed.join(cut_lineage(split, "split"), "bucket")
 
+    def lowest(turn: int, *more):
+        return F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), F.col("id"), F.col("size").alias("n"), *more))
+
     tried = links = None
-    for turn in range(pivot_rounds):
-        lowest = F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), F.col("id"), F.col("size").alias("n"))
-        if turn < 2:
-            pivots = member.groupBy("bucket").agg(F.min(lowest).alias("p"))
-            pairs = member.join(pivots, "bucket").where(F.col("id") != F.col("p.id"))
+    free = min(2, pivot_rounds)
+    for turn in range(max(free - 1, 0), pivot_rounds):
+        if turn < 2:  # nothing found before is needed: the pivots of these rounds in one pass, a pair by the first round that has it
+            pivots = member.groupBy("bucket").agg(F.array(*[lowest(t) for t in range(free)]).alias("ps"))
+            placed = member.join(pivots, "bucket").select("id", "size", F.posexplode("ps").alias("turn", "p")).where(F.col("id") != F.col("p.id"))
         else:  # members known to be of the pivot's class are settled with it
             unsettled = cut_lineage(unsettled_members(near_labels()), "unsettled")
-            pivots = unsettled.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), F.col("id"), F.col("size").alias("n"), F.col("class"))).alias("p"))
-            pairs = unsettled.join(cut_lineage(pivots, "pivots"), "bucket").where(F.col("class") != F.col("p.class"))
-        pairs = pairs.select("id", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("n")) \
-            .where(F.least("size", "n") >= low * F.greatest("size", "n")) \
-            .select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+            pivots = unsettled.groupBy("bucket").agg(lowest(turn, F.col("class")).alias("p"))
+            placed = unsettled.join(pivots, "bucket").where(F.col("class") != F.col("p.class")).withColumn("turn", F.lit(turn))
+        pairs = placed.select("turn", F.col("id").alias("a"), F.col("p.id").alias("b"), "size", F.col("p.n").alias("n")) \
+            .where(F.least("size", "n") >= low * F.greatest("size", "n"))
+        pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")) \
+            .agg(F.min(2 * F.col("turn") + (F.col("a") > F.col("b")).cast("int")).alias("k")) \
+            .select(F.when(F.col("k") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(F.col("k") % 2 == 0, F.col("hi")).otherwise(F.col("lo")).alias("b"))
         pairs = cut_lineage(untried(pairs), "pairs")
         good = verified(pairs)
         tried = pairs if tried is None else tried.union(pairs)
         links = good if links is None else links.union(good)
 
     # members of one bucket that are still in different classes: exact join on rare shingles
-    unsettled = cut_lineage(unsettled_members(components(links, "a", "b")).select("id", "class").distinct(), "unsettled")
-    rest = cut_lineage(untried(rare_shingle_pairs(texts, unsettled, threshold, words)), "pairs")
-    more = verified(rest)
-    links = links.union(more)
-    classes = components(links, "a", "b")
+    classes = cut_lineage(components(links, "a", "b"), "components")
+    unsettled = cut_lineage(unsettled_members(classes).select("id", "class").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        rest = cut_lineage(untried(rare_shingle_pairs(texts, unsettled, threshold, words)), "pairs")
+        if not rest.isEmpty():
+            more = verified(rest)
+            links = links.union(more)
+            classes = joined_components(classes, more, "a", "b")
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     named = groups.join(classes, groups.rep == classes.id, "left").join(degree, groups.rep == degree.id, "left") \
         .select("key", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
