@@ -152,6 +152,18 @@ def test_graph_recall():
     assert len(found & true) >= 0.999 * len(true) and widths == sorted(widths)
 
 
+def test_a_large_group_needs_no_wider_beam():
+    rng = np.random.default_rng(6)
+    group = rng.normal(size=32) + 0.02 * rng.normal(size=(700, 32))  # every member links with 699 others, a beam holds 64
+    x = hnsw._unit_rows(np.concatenate([rng.normal(size=(900, 32)), group])).astype("f4")
+    layers = hnsw.build(x, hnsw._seeds(np.arange(len(x))))
+    assert np.isin(np.arange(len(x)), layers[-1][1]).all()  # every node can be reached from another
+    true = set(zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.93))))
+    for options in ({}, {"own": True}):
+        r, c, widths = hnsw.search_links(x, layers, x, 0.93, np.arange(0, len(x), 10), **options)
+        assert widths == [64] and len(true - set(zip(r.tolist(), c.tolist()))) <= (0 if options else 0.001 * len(true))
+
+
 def test_repeated_rows_in_a_large_unsettled_bucket(spark):
     rows, number = [], itertools.count()
     passage = [f"c{i}" for i in range(89)]  # every text shares 85 shingles with every other: buckets of about a hundred

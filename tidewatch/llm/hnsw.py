@@ -2,10 +2,10 @@
 
 Vectors of one label are dealt into shards by a hash of their ids.  Every shard
 gets a layered graph; every vector queries every shard of its label with a beam
-search.  A sample of the queries is answered by a full scan as well: while the
-beams miss one of its links, or a beam ends inside the link range, the beam is
-widened, at last to the whole shard.  Found links are verified by cosine in
-double precision, counted, and united.
+search, which goes on over every node in the link range.  A sample of the
+queries is answered by a full scan as well: while the beams miss one of its
+links, they are widened, at last to the whole shard.  Found links are verified by
+cosine in double precision, counted, and united.
 
 Defined cases: null labels, and vectors that are null, empty, zero or hold null
 or non-finite parts, link with nothing; vectors of different lengths do not
@@ -27,7 +27,7 @@ from .common import components, ship
 ship(__name__)
 
 
-def beam_search(x, graph, queries, entry, width: int, expand: int = 4, hits: float | None = None):
+def beam_search(x, graph, queries, entry, width: int, expand: int = 4, hits: float | None = None, rim: float = 0.02):
     """Best ``width`` nodes per query on one layer, and every node seen at ``hits`` or above.
 
     ``graph`` is (nodes, neighbours) with -1 for none; ``entry`` is (queries,
@@ -80,30 +80,104 @@ def beam_search(x, graph, queries, entry, width: int, expand: int = 4, hits: flo
         mask[at, best] = False
         open_[rows] = mask
         add(rows, near)
+    worst = sims.min(axis=1)
+    if hits is None:
+        return ids, sims, worst, None, None
+    hit_q, hit_x = np.concatenate(hit_q), np.concatenate(hit_x)
+    pushed_out = worst[hit_q] >= hits - rim  # the beam was too narrow for the range: go on from all of these rows' hits
+    more_q, more_x = _spread(x, graph, queries, hit_q[pushed_out], hit_x[pushed_out], seen, hits, rim)
+    return ids, sims, worst, np.concatenate([hit_q, more_q]), np.concatenate([hit_x, more_x])
+
+
+def _spread(x, graph, queries, rows, nodes, seen, hits: float, rim: float, most: int = 50_000):
+    """Nodes at ``hits`` or above, beyond those seen, reached from (query row, node) pairs over nodes at most ``rim`` below it."""
+    reached = seen.reshape(-1)
+    stack, out_q, out_x = [(rows, nodes)], [], []
+    while stack:
+        r, c = stack.pop()
+        if len(r) > most:
+            stack.append((r[most:], c[most:]))
+            r, c = r[:most], c[:most]
+        near = graph[c]
+        flat = (r[:, None].astype(np.int64) * len(x) + near)[near >= 0]
+        flat = np.unique(flat[~reached[flat]])
+        reached[flat] = True
+        r, c = np.divmod(flat, len(x))
+        sims = np.einsum("ij,ij->i", queries[r], x[c])
+        out_q.append(r[sims >= hits])
+        out_x.append(c[sims >= hits])
+        if (sims >= hits - rim).any():
+            stack.append((r[sims >= hits - rim], c[sims >= hits - rim]))
     none = np.zeros(0, np.int64)
-    return ids, sims, sims.min(axis=1), (np.concatenate(hit_q) if hit_q else none), (np.concatenate(hit_x) if hit_x else none)
-
-
-def _diverse(x, node, cand, sim, m: int):
-    """Up to m of the candidates, nearest first, skipping those nearer to one already chosen than to the node."""
-    order = np.argsort(-sim)
-    order = order[np.isfinite(sim[order]) & (cand[order] >= 0) & (cand[order] != node)][:4 * m]
-    cand, sim = cand[order], sim[order]
-    cand, first = np.unique(cand, return_index=True)
-    sim = sim[first]
-    order = np.argsort(-sim, kind="stable")
-    cand, sim = cand[order], sim[order]
-    if len(cand) <= m // 2:
-        return cand
-    among = x[cand] @ x[cand].T
-    chosen: list[int] = []
-    for i in range(len(cand)):
-        if not chosen or among[i, chosen].max() < sim[i]:
-            chosen.append(i)
-            if len(chosen) == m:
-                break
-    spare = [i for i in range(len(cand)) if i not in set(chosen)]
-    return cand[sorted(chosen + spare[:max(0, m // 2 - len(chosen))])]
+    return (np.concatenate(out_q) if out_q else none), (np.concatenate(out_x) if out_x else none)
+
+
+def _diverse(x, nodes, cand, sim, m: int):
+    """Per node (row) up to m of its candidates, -1 behind them: nearest first, skipping those nearer to one chosen than to the node.
+
+    ``cand`` and ``sim`` are (nodes, candidates), -1 for none; repeats count once.
+    """
+    order = np.argsort(cand, axis=1, kind="stable")
+    cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
+    good = (cand >= 0) & (cand != nodes[:, None]) & np.isfinite(sim)
+    good[:, 1:] &= cand[:, 1:] != cand[:, :-1]
+    sim = np.where(good, sim, -np.inf)
+    order = np.argsort(-sim, axis=1, kind="stable")[:, :max(1, min(4 * m, int(good.sum(axis=1).max(initial=1))))]
+    cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
+    good = np.isfinite(sim)
+    near = x[np.where(good, cand, 0)]
+    among = near @ near.transpose(0, 2, 1)
+    chosen, crowd, left = np.zeros(cand.shape, bool), np.full(cand.shape, -np.inf, np.float32), np.full(len(cand), m)
+    for i in range(cand.shape[1]):
+        take = good[:, i] & (crowd[:, i] < sim[:, i]) & (left > 0)
+        chosen[:, i] = take
+        left -= take
+        crowd[take] = np.maximum(crowd[take], among[take, i])
+    spare = good & ~chosen
+    few = good.sum(axis=1) <= m // 2
+    fill = np.where(few, m, m // 2 - chosen.sum(axis=1))
+    chosen |= spare & (np.cumsum(spare, axis=1) <= fill[:, None])
+    order = np.argsort(~chosen, axis=1, kind="stable")[:, :m]
+    out = np.full((len(cand), m), -1, np.int32)
+    out[:, :order.shape[1]] = np.where(np.take_along_axis(chosen, order, 1), np.take_along_axis(cand, order, 1), -1)
+    return out
+
+
+def _link_back(x, graph, nodes, links, cap: int, rows: int = 256):
+    """Every node becomes a neighbour of those it links to; lists longer than ``cap`` are pruned."""
+    r, c = np.nonzero(links >= 0)
+    other, news = links[r, c], nodes[r]
+    order = np.argsort(other, kind="stable")
+    other, news = other[order], news[order]
+    touched, first, count = np.unique(other, return_index=True, return_counts=True)
+    by_count = np.argsort(count, kind="stable")  # lists of like length side by side
+    for a in range(0, len(touched), rows):
+        at = by_count[a:a + rows]
+        k = np.arange(count[at].max())
+        add = np.where(k < count[at][:, None], news[np.minimum(first[at][:, None] + k, len(news) - 1)], -1)
+        both = -np.sort(-np.concatenate([graph[touched[at]], add.astype(np.int32)], axis=1), axis=1)
+        both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+        both = -np.sort(-both, axis=1)
+        long = (both >= 0).sum(axis=1) > cap
+        if long.any():
+            sim = np.full(both[long].shape, -np.inf, np.float32)
+            i, j = np.nonzero(both[long] >= 0)
+            sim[i, j] = np.einsum("ij,ij->i", x[both[long][i, j]], x[touched[at][long][i]])
+            graph[touched[at][long]] = _diverse(x, touched[at][long], both[long], sim, cap)
+        short = both[~long][:, :cap]
+        graph[touched[at][~long], :short.shape[1]] = short
+
+
+def _adopt(x, graph, nodes):
+    """A node that no list holds enters that of its nearest neighbour with room (else of the nearest, for the last there)."""
+    for node in np.setdiff1d(nodes, graph):
+        own = graph[node][graph[node] >= 0]
+        if len(own):
+            own = own[np.argsort(-(x[own] @ x[node]), kind="stable")]
+            room = (graph[own] < 0).any(axis=1)
+            to = own[room.argmax()] if room.any() else own[0]
+            free = graph[to] < 0
+            graph[to, free.argmax() if free.any() else -1] = node
 
 
 def build(x, seeds, m: int = 12, width: int = 48, block: int = 256):
@@ -134,20 +208,11 @@ def build(x, seeds, m: int = 12, width: int = 48, block: int = 256):
                 entry = np.where(np.isin(entry, order[:done]), entry, order[0])
                 ids, s, *_ = beam_search(x, graph, x[now], entry, min(width, max(done, 1)))
                 cand, sim = np.concatenate([cand, ids], axis=1), np.concatenate([sim, s], axis=1)
-            touched: dict[int, list[int]] = {}
-            for i, node in enumerate(now):
-                links = _diverse(x, node, cand[i], sim[i], m)
-                graph[node, :len(links)] = links
-                for other in links:
-                    touched.setdefault(int(other), []).append(int(node))
-            for other, news in touched.items():
-                have = graph[other][graph[other] >= 0]
-                both = np.unique(np.concatenate([have, np.array(news, np.int32)]))
-                if len(both) > cap:
-                    both = _diverse(x, other, both.astype(np.int32), (x[both] @ x[other]).astype(np.float32), cap)
-                graph[other] = -1
-                graph[other, :len(both)] = both
+            links = _diverse(x, now, cand, sim, m)
+            graph[now, :m] = links
+            _link_back(x, graph, now, links, cap)
             done += len(now)
+        _adopt(x, graph, nodes)
         layers.append((order, graph))
     return layers
 
@@ -161,43 +226,48 @@ def starts(x, layers, queries, count: int):
     return entry
 
 
-def search_links(x, layers, queries, threshold: float, audit, width: int = 64, m: int = 12, block: int = 512):
+def search_links(x, layers, queries, threshold: float, audit, width: int = 64, m: int = 12, block: int = 512, own: bool = False):
     """All (query, node) pairs at ``threshold`` or above (single precision with a margin).
 
-    ``audit``: numbers of the queries also answered by a full scan.  Beams whose
-    worst entry is still in range are widened; all are while an audited query
-    misses a link.  Returns (query rows, nodes, widths used).
+    A beam that the link range fills goes on over all nodes in range, so its cost
+    follows the links and not its width.  ``own``: the queries are the nodes; each
+    starts at itself, and a link found one way holds both ways.  ``audit``: numbers
+    of the queries also answered by a full scan; while one of them misses a link,
+    all beams are widened.
+    Returns (query rows, nodes, widths used).
     """
     margin = threshold - 1e-4
-    truth = {int(i): np.flatnonzero(x @ queries[i] >= margin) for i in audit}
-    todo, used, found = np.arange(len(queries)), [], {}
-    while len(todo):
+    truth = {}
+    for a in range(0, len(audit), block):
+        at, node = np.nonzero(queries[audit[a:a + block]] @ x.T >= margin)
+        truth |= {int(audit[a + i]): len(part) for i, part in zip(*_grouped(at, node))}
+    used = []
+    while True:
         used.append(width)
-        again = []
-        for a in range(0, len(todo), block):
-            rows = todo[a:a + block]
+        found_q, found_x = [], []
+        for a in range(0, len(queries), block):
+            rows = np.arange(a, min(a + block, len(queries)))
             if width >= len(x):  # the beam holds the whole shard
-                sims = queries[rows] @ x.T
-                hq, hx = np.nonzero(sims >= margin)
-                full = np.zeros(len(rows), bool)
+                hq, hx = np.nonzero(queries[rows] @ x.T >= margin)
             else:
-                entry = starts(x, layers[:-1], queries[rows], m) if len(layers) > 1 else np.broadcast_to(layers[0][0][:1], (len(rows), 1))
-                _, _, worst, hq, hx = beam_search(x, layers[-1][1], queries[rows], entry, width, hits=margin)
-                full = worst >= margin
-            for i, row in enumerate(rows):
-                found[int(row)] = hx[:0]
-            order = np.argsort(hq, kind="stable")
-            for i, part in zip(*_grouped(hq[order], hx[order])):
-                found[int(rows[i])] = np.sort(part)
-            again.append(rows[full])
-        full = set(np.concatenate(again).tolist())
-        missed = any(len(found[i]) < len(t) for i, t in truth.items() if i not in full)
-        if width >= len(x):
-            break
-        todo = np.arange(len(queries)) if missed else np.concatenate(again)
+                if own:
+                    entry = rows[:, None]
+                elif len(layers) > 1:
+                    entry = starts(x, layers[:-1], queries[rows], m)
+                else:
+                    entry = np.broadcast_to(layers[0][0][:1], (len(rows), 1))
+                *_, hq, hx = beam_search(x, layers[-1][1], queries[rows], entry, width, hits=margin)
+            order = np.lexsort((hx, hq))
+            found_q.append(rows[hq[order]])
+            found_x.append(hx[order])
+        rows = np.concatenate(found_q) if found_q else np.zeros(0, np.int64)
+        nodes = np.concatenate(found_x).astype(np.int64) if found_x else rows
+        if own:
+            rows, nodes = np.divmod(np.unique(np.concatenate([rows * len(x) + nodes, nodes * len(x) + rows])), len(x))
+        counts = np.bincount(rows, minlength=len(queries))
+        if width >= len(x) or all(counts[i] >= n for i, n in truth.items()):
+            return rows, nodes, used
         width = min(4 * width, len(x))
-    rows = np.concatenate([np.full(len(v), k, np.int64) for k, v in found.items()]) if found else np.zeros(0, np.int64)
-    return rows, (np.concatenate(list(found.values())) if found else np.zeros(0, np.int64)), used
 
 
 def _grouped(keys, values):
@@ -278,15 +348,13 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         q_ids, q_vecs = np.frombuffer(get(right, "q_ids"), "<i8"), np.frombuffer(get(right, "q_vecs"), "<f8")
         q = _unit_rows(q_vecs.reshape(len(q_ids), -1))
         audit = np.flatnonzero(_seeds(q_ids + 1) < audit_share) if len(q_ids) > 64 else np.arange(len(q_ids))
-        r, c, _ = search_links(x.astype(np.float32), layers, q.astype(np.float32), threshold, audit)
+        own = len(q_ids) == len(ids) and (q_ids == ids).all()
+        r, c, _ = search_links(x.astype(np.float32), layers, q.astype(np.float32), threshold, audit, own=own)
         true = np.concatenate([np.einsum("ij,ij->i", q[r[a:a + 100_000]], x[c[a:a + 100_000]]) >= threshold
                                for a in range(0, len(r), 100_000)]) if len(r) else np.zeros(0, bool)
         r, c = r[true], c[true]
         apart = q_ids[r] != ids[c]
         r, c = r[apart], c[apart]
-        if len(q_ids) == len(ids) and (q_ids == ids).all():  # a shard asks itself: a link found one way holds both ways
-            both = np.unique(np.concatenate([r * len(ids) + c, c * len(ids) + r]))
-            r, c = np.divmod(both, len(ids))
         nodes, place = np.unique(np.concatenate([q_ids[r], ids[c]]), return_inverse=True)
         root = nodes[_roots(len(nodes), place[:len(r)], place[len(r):])] if len(nodes) else nodes
         asking = np.isin(nodes, q_ids)
