@@ -237,11 +237,11 @@ def search_links(x, layers, queries, threshold: float, audit, width: int = 64, m
     Returns (query rows, nodes, widths used).
     """
     margin = threshold - 1e-4
-    truth = {}
-    for a in range(0, len(audit), block):
-        at, node = np.nonzero(queries[audit[a:a + block]] @ x.T >= margin)
-        truth |= {int(audit[a + i]): len(part) for i, part in zip(*_grouped(at, node))}
-    used = []
+    truth, used = [np.zeros(0, np.int64)], []
+    for a in range(0, len(audit), block):  # well inside the margin, so that rounding decides nothing
+        at, node = np.nonzero(queries[audit[a:a + block]] @ x.T >= threshold - 1e-5)
+        truth.append(audit[a + at].astype(np.int64) * len(x) + node)
+    truth = np.concatenate(truth)
     while True:
         used.append(width)
         found_q, found_x = [], []
@@ -257,27 +257,17 @@ def search_links(x, layers, queries, threshold: float, audit, width: int = 64, m
                 else:
                     entry = np.broadcast_to(layers[0][0][:1], (len(rows), 1))
                 *_, hq, hx = beam_search(x, layers[-1][1], queries[rows], entry, width, hits=margin)
-            order = np.lexsort((hx, hq))
-            found_q.append(rows[hq[order]])
-            found_x.append(hx[order])
+            found_q.append(rows[hq])
+            found_x.append(hx)
         rows = np.concatenate(found_q) if found_q else np.zeros(0, np.int64)
         nodes = np.concatenate(found_x).astype(np.int64) if found_x else rows
         if own:
             rows, nodes = np.divmod(np.unique(np.concatenate([rows * len(x) + nodes, nodes * len(x) + rows])), len(x))
-        counts = np.bincount(rows, minlength=len(queries))
-        if width >= len(x) or all(counts[i] >= n for i, n in truth.items()):
+        if width >= len(x) or np.isin(truth, rows * len(x) + nodes).all():
             return rows, nodes, used
         width = min(4 * width, len(x))
 
 
-def _grouped(keys, values):
-    """Values of each run of equal keys."""
-    if not len(keys):
-        return [], []
-    at = np.flatnonzero(np.diff(keys)) + 1
-    return keys[np.concatenate([[0], at])], np.split(values, at)
-
-
 def _roots(n: int, a, b):
     """Smallest reachable number of every node of 0 .. n - 1 over links a - b."""
     root = np.arange(n)
