@@ -88,3 +88,37 @@ def test_bracket_values_are_found_in_long_form(spark, monkeypatch):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, exact))
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" in plan and "filter(array" not in plan
+
+
+def test_values_meet_their_brackets_in_one_pass(spark, monkeypatch):
+    """Values below a bracket are counted in the pass that finds those inside, by a number and not by the group's columns."""
+    from tidewatch.operators import selection
+
+    written, seen, ranks, write = [], [], selection.value_ranks, quantiles.cut_lineage
+    monkeypatch.setattr(quantiles, "cut_lineage", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(selection, "value_ranks", lambda df, *a: seen.append((df.columns, a)) or ranks(df, *a))
+    df = spark.range(4000).select(F.when(F.col("id") % 4 != 0, (F.col("id") % 4).cast("string")).alias("g"), (F.col("id") * 7 % 1999).cast("double").alias("x"))
+    got = quantiles.quantile_table(df, {"a": ("x", 0.5), "b": ("x", 0.01)}, ["g"], drop_null_keys=False).collect()
+    want = df.groupBy("g").agg(F.percentile("x", 0.5).alias("a"), F.percentile("x", 0.01).alias("b")).collect()
+    near = lambda rows: sorted((str(r.g), round(r.a, 9), round(r.b, 9)) for r in rows)
+    assert near(got) == near(want)
+    assert written == ["brackets"] and "g" not in seen[0][0]
+
+
+def test_text_is_parsed_once_per_row(spark, sf_dir):
+    """The filter on the flags reads the parsed values: below the projection it parsed the text again for every rule."""
+    plan = clean.filtered(fixture.readings(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp(") == 1
+    assert all("cast(value" not in line for line in plan.splitlines() if "Filter (" in line)
+
+
+def test_prepared_readings_are_the_cleaned_readings(spark, sf_dir):
+    """The lags are filled on reading; the rows are those of C1 and are written once, unfilled."""
+    from tidewatch.plans import baseline
+    from tidewatch.plans.catalogue import round_doubles
+
+    ready = baseline.fixture_clean(spark, sf_dir)
+    plain = round_doubles(clean.clean_readings(fixture.readings(spark, sf_dir)).select(*ready.columns))
+    rows = round_doubles(ready)  # running sums differ in their last digits with the sampled ranges
+    assert rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
+    assert any(f.split("/")[-2].startswith("clean-medians-") for f in ready.inputFiles())

@@ -78,3 +78,13 @@ def test_text_helpers(spark):
 def test_fixed_tables_are_complete():
     assert set(fixed.RISK_ACTIONS) == set(fixed.RISK_LEVELS) == set(fixed.RISK_COLORS) == set(fixed.RISK_LABELS_UR)
     assert sum(fixed.CHOICE_WEIGHTS.values()) == 1.2
+
+
+def test_unicode_trim_is_the_white_space_pattern(spark):
+    """Trimmed by a set of characters: the ends only are looked at, no pattern runs over the whole text."""
+    ends = [chr(c) for c in [*range(1, 0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]]
+    texts = [None, "", " ", "　 \n", "a", "آب \r\n"] + [f"{e}a {e} ضلعی{e}" for e in ends] + [f"a\n{e}" for e in ends]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select(rules.unicode_trim("t").alias("a"), F.regexp_replace(F.coalesce("t", F.lit("")), r"(?U)^\s+|\s+$", "").alias("b"))
+    assert all(r.a == r.b for r in out.collect())
+    assert "regexp_replace" not in df.select(rules.unicode_trim("t"))._jdf.queryExecution().optimizedPlan().toString()
