@@ -163,3 +163,94 @@ def test_store_publishes_whole_tables_once(spark, tmp_path):
         return spark.range(7)
 
     assert store.once(spark, "race", [str(tmp_path / "in")], late).count() == 2
+
+
+def plain_tops(x, y, w, spec, tree, limit):
+    """Nodes of more than ``limit`` rows cut with a queue, the others grown by ``plain_tree`` with their root's number."""
+    feats = list(range(x.shape[1]))
+    nodes, parts, queue = [None], [], [(0, np.arange(len(y)), 0)]
+    while queue:
+        i, at, depth = queue.pop(0)
+        if len(at) <= limit or len(set(y[at])) < 2:
+            own = forest.Ensemble("m", spec.kind, max_depth=spec.max_depth - depth)
+            parts.append((i, plain_tree(x[at], y[at], w[at], own, tree + (i << 32))))
+            continue
+        stump = forest.Ensemble("m", spec.kind, max_depth=1)
+        varying = sorted((f for f in feats if x[at, f].max() > x[at, f].min()), key=lambda f: (float(forest.draw(spec.seed, tree, i, f, 0)), f))
+        tried = varying[:max(1, int(len(feats) ** 0.5))]
+        best = None
+        for f in tried:
+            v = x[at, f]
+            if spec.kind == "extra_trees":
+                cut = v.min() + float(forest.draw(spec.seed, tree, i, f, 1)) * (v.max() - v.min())
+                cuts = [cut if cut < v.max() else v.min()]
+            else:
+                values = np.unique(v)
+                cuts = [a / 2 + b / 2 for a, b in zip(values, values[1:])]
+            for cut in cuts:
+                left = v <= cut
+                if min(left.sum(), (~left).sum()) >= stump.min_leaf:
+                    sides = [(w[at][s].sum(), (w[at] * y[at])[s].sum()) for s in (left, ~left)]
+                    score = sum((p * p + (a - p) * (a - p)) / a for a, p in sides)
+                    if best is None or score > best[0] + 1e-9:
+                        best = (score, f, cut, left)
+        _, f, cut, left = best
+        nodes[i] = (f, cut, len(nodes), (w[at] * y[at]).sum() / w[at].sum())
+        nodes += [None, None]
+        queue += [(len(nodes) - 2, at[left], depth + 1), (len(nodes) - 1, at[~left], depth + 1)]
+    for i, part in parts:
+        after = len(nodes) - 1
+        moved = [(f, cut, left + after if left >= 0 else -1, v) for f, cut, left, v in part]
+        nodes[i] = moved[0]
+        nodes += moved[1:]
+    return nodes
+
+
+@pytest.mark.parametrize("kind,blocks", [("random_forest", 4), ("random_forest", 64), ("extra_trees", 64)])
+def test_trees_of_more_rows_than_a_task_holds_are_the_plain_trees(spark, kind, blocks):
+    x, y = sample(500, 9)
+    x[:, 0] = np.round(x[:, 0], 1)
+    spec = forest.Ensemble("m", kind, trees=3)
+    rows = _rows(spark, x, y)
+    nodes = forest.grow(rows.repartition(3), [spec], cells=100 * x.shape[1], blocks=blocks)
+    counts = {(r.tree, r.id): r.times for r in forest.bootstrap_counts(rows.select("id"), 3, spec.seed).collect()}
+    got = {t: {} for t in range(3)}
+    for r in nodes.collect():
+        assert r.node not in got[r.tree]
+        got[r.tree][r.node] = r
+    for t in range(3):
+        times = np.array([counts[t, i] if kind == "random_forest" else 1 for i in range(len(y))])
+        w = times * np.array([times.sum() / (2 * times[y == c].sum()) for c in y])
+        at = np.flatnonzero(times)
+        want = plain_tops(x[at], y[at], w[at], spec, t, 100)
+        assert sorted(got[t]) == list(range(len(got[t]))) and len(got[t]) == len(want)
+
+        def walk(i, j):  # parts stand in another order
+            a, b = got[t][i], want[j]
+            assert (a.feature, a.left < 0) == (b[0], b[2] < 0) and abs(a.threshold - b[1]) < 1e-9 and abs(a.value - b[3]) < 1e-9
+            if a.left >= 0:
+                walk(a.left, b[2])
+                walk(a.left + 1, b[2] + 1)
+
+        walk(0, 0)
+    assert nodes.where("feature >= 0 and gain < -1e-9").count() == 0
+
+
+def test_trees_score_in_parts(spark):
+    x, y = sample(400)
+    rows = _rows(spark, x, y)
+    nodes = forest.grow(rows, [forest.Ensemble("m", trees=9)])
+    one, many = forest.Trees(nodes), forest.Trees(nodes, 150)
+    assert len(one.ranges) == 1 and len(many.ranges) > 3
+    np.testing.assert_allclose(many.score(x), one.score(x))
+    a, b = ({r.id: r.score for r in forest.score_rows(rows.repartition(3), t).collect()} for t in (one, many))
+    assert len(a) == 400 and max(abs(a[i] - b[i]) for i in a) < 1e-12
+
+
+def test_trees_grow_on_all_labelled_rows(spark):
+    """The root of an unweighted extremely randomised tree holds the label's rate over all rows, however many."""
+    df = spark.range(5000).select(F.col("id").alias("reading_id"), F.when(F.col("id") < 4900, (F.col("id") % 7 == 0).cast("int")).alias("label"),
+                                  (F.col("id") % 13).cast("double").alias("precipitation"), F.lit("a").alias("district"))
+    feats = learn.Features(["precipitation"], ["district"])
+    model = learn.fit(df, feats, learn.ModelSpec("extra_trees", trees=2, balanced=False))
+    assert {r.value for r in model.nodes.where("node = 0").collect()} == {700 / 4900}
